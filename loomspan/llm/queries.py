@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .leaked_passages import leaked_passages
 from .near_duplicates import NearDuplicates
 
 
@@ -25,8 +26,18 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(_texts(spark, d, "prompt"), shingle=3, threshold=0.5, least_words=20).groups()
 
 
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    q = _read(spark, d, "judged_questions")
+    return q.select(F.col("question_id").alias("item"), F.explode(F.concat(F.coalesce("turns", F.array().cast("array<string>")), F.coalesce("answers", F.array().cast("array<string>")))).alias("text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaked_passages(_read(spark, d, "documents"), _passages(spark, d))
+    return found.select("doc_id", F.col("item").cast("int").alias("question_id"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {f.__name__: f for f in (p1_found, p1_groups, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
