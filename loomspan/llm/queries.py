@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .leaked_passages import leaked_passages
 from .near_duplicates import NearDuplicates
+from .template_residue import template_residue
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,8 +37,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("item").cast("int").alias("question_id"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return template_residue(_read(spark, d, "documents")).where("excluded").select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p7_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
