@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .leaked_passages import leaked_passages
 from .near_duplicates import NearDuplicates
 from .template_residue import template_residue
+from .text_quality import text_quality
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +33,14 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("question_id").alias("item"), F.explode(F.concat(F.coalesce("turns", F.array().cast("array<string>")), F.coalesce("answers", F.array().cast("array<string>")))).alias("text"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(_read(spark, d, "quality_texts")).where("kind <> 'prose'").select("id", "kind")
+
+
+def p3_stats(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(_read(spark, d, "quality_texts"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaked_passages(_read(spark, d, "documents"), _passages(spark, d))
     return found.select("doc_id", F.col("item").cast("int").alias("question_id"))
@@ -42,7 +51,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p7_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_stats, p7_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
