@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .consensus import Consensus, agreement
 from .leaked_passages import leaked_passages
 from .near_duplicates import NearDuplicates
+from .ranking import consensus_comparisons, rank, stronger
 from .template_residue import template_residue
 from .text_quality import text_quality
+from .votes import valid_votes
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,6 +36,22 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("question_id").alias("item"), F.explode(F.concat(F.coalesce("turns", F.array().cast("array<string>")), F.coalesce("answers", F.array().cast("array<string>")))).alias("text"))
 
 
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return valid_votes(_read(spark, d, "annotations"), _read(spark, d, "annotation_tasks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return Consensus(_votes(spark, d)).labels(least_votes=3).select("task_id", F.col("label").alias("preference"))
+
+
+def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return Consensus(_votes(spark, d)).annotators()
+
+
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return agreement(_votes(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(_read(spark, d, "quality_texts")).where("kind <> 'prose'").select("id", "kind")
 
@@ -41,6 +60,19 @@ def p3_stats(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(_read(spark, d, "quality_texts"))
 
 
+def _ranking(spark: SparkSession, d: str) -> DataFrame:
+    labels = Consensus(_votes(spark, d)).labels()  # votes count as far as their annotators are reliable
+    return rank(consensus_comparisons(labels, _read(spark, d, "annotation_tasks")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return stronger(_ranking(spark, d))
+
+
+def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return _ranking(spark, d)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaked_passages(_read(spark, d, "documents"), _passages(spark, d))
     return found.select("doc_id", F.col("item").cast("int").alias("question_id"))
@@ -51,7 +83,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_stats, p7_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p6_found, p6_ranking, p7_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
