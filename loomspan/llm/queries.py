@@ -11,6 +11,7 @@ from .near_duplicates import NearDuplicates
 from .ranking import consensus_comparisons, rank, stronger
 from .template_residue import template_residue
 from .text_quality import text_quality
+from .toxicity import toxic_passages, toxic_rates
 from .votes import valid_votes
 
 
@@ -60,6 +61,20 @@ def p3_stats(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(_read(spark, d, "quality_texts"))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return toxic_passages(_texts(spark, d, "chosen").withColumnRenamed("id", "row_id"), _read(spark, d, "toxicity_labels"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("toxic").select("table_name", "row_id")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    q, p = _read(spark, d, "quality_texts"), _read(spark, d, "preference_pairs")
+    sources = q.select(F.lit("quality_texts").alias("table_name"), F.col("id").alias("row_id"), "source").union(p.select(F.lit("preference_pairs"), "pair_id", "source"))
+    return toxic_rates(_scored(spark, d), sources)
+
+
 def _ranking(spark: SparkSession, d: str) -> DataFrame:
     labels = Consensus(_votes(spark, d)).labels()  # votes count as far as their annotators are reliable
     return rank(consensus_comparisons(labels, _read(spark, d, "annotation_tasks")))
@@ -83,7 +98,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p6_found, p6_ranking, p7_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p4_found, p4_rates, p6_found, p6_ranking, p7_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
