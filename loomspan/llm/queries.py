@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .broken_pairs import broken_pairs
 from .consensus import Consensus, agreement
 from .leaked_passages import leaked_passages
 from .near_duplicates import NearDuplicates
@@ -75,6 +76,10 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic_rates(_scored(spark, d), sources)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs(_read(spark, d, "preference_pairs"))
+
+
 def _ranking(spark: SparkSession, d: str) -> DataFrame:
     labels = Consensus(_votes(spark, d)).labels()  # votes count as far as their annotators are reliable
     return rank(consensus_comparisons(labels, _read(spark, d, "annotation_tasks")))
@@ -98,7 +103,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p4_found, p4_rates, p6_found, p6_ranking, p7_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p4_found, p4_rates, p5_found, p6_found, p6_ranking, p7_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
