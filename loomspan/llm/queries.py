@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .broken_pairs import broken_pairs
 from .consensus import Consensus, agreement
 from .leaked_passages import leaked_passages
+from .mixture import Mixture
 from .near_duplicates import NearDuplicates
 from .ranking import consensus_comparisons, rank, stronger
 from .template_residue import template_residue
@@ -98,12 +99,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("item").cast("int").alias("question_id"))
 
 
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).chosen()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return template_residue(_read(spark, d, "documents")).where("excluded").select("doc_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p4_found, p4_rates, p5_found, p6_found, p6_ranking, p7_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p4_found, p4_rates, p5_found, p6_found, p6_ranking, p7_found, p8_mix, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
