@@ -49,13 +49,12 @@ def repetition(ws: Column, n: int = 3) -> Column:
     return F.when(F.size(ws) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
 
 
-def repeated_share(ws: Column, n: int = 3) -> Column:
-    """Share of distinct n-grams that occur more than once. Sorted once, then neighbours are compared."""
-    g = F.array_sort(ngrams(ws, n))
-    d = F.size(F.array_distinct(g))
-    later = F.when(F.size(g) > 1, F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    twice = F.size(F.array_distinct(F.filter(F.zip_with(F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(1))), later, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())))
-    return F.when(F.size(ws) < n, F.lit(0.0)).otherwise(F.when(d > 0, twice / d).otherwise(0.0))
+def repeated_share(g: Column) -> Column:
+    """Share of the distinct ones of sorted n-grams that occur more than once; 0 for none. ``g`` is best a column of its own."""
+    n = F.size(g)
+    pairs = F.arrays_zip(F.slice(g, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(g, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+    twice = F.size(F.array_distinct(F.filter(F.transform(pairs, lambda x: F.when(x["a"] == x["b"], x["a"])), lambda x: x.isNotNull())))
+    return F.when(n > 0, twice / F.size(F.array_distinct(g))).otherwise(0.0)
 
 
 def coherence(text: Column) -> Column:

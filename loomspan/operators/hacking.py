@@ -42,7 +42,8 @@ def sycophancy(df: DataFrame, response: str = "response") -> DataFrame:
 
 def repetition_report(df: DataFrame, response: str = "response", n: int = 3, threshold: float = 0.3) -> DataFrame:
     """(mean_score, rate, detected): share of repeated distinct n-grams; rows above the threshold."""
-    s = df.select(T.repeated_share(T.words(F.col(response)), n).alias("s"))
+    g = df.select(T.words(F.col(response)).alias("w")).select(F.array_sort(T.ngrams(F.col("w"), n)).alias("g"))
+    s = g.select(T.repeated_share(F.col("g")).alias("s"))
     x = s.agg(F.avg("s").alias("mean_score"), share(F.col("s") > threshold).alias("rate"))
     return x.select("mean_score", "rate", ((F.col("rate") > 0.1) | (F.col("mean_score") > threshold)).alias("detected"))
 
