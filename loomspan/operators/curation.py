@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from . import dedup, quality, screening
 
 #: A stage adds a reason (null: kept) to the surviving rows.
@@ -55,7 +56,7 @@ class Curator:
         """Kept rows, and (stage, total, passed, removed, reason, n) with a row for each reason of each stage."""
         stats = None
         for k, (name, stage) in enumerate(self.stages):
-            judged = stage(df)
+            judged = materialize(stage(df), name)  # read by the statistics and, more than once, by the next stage
             s = judged.groupBy(F.coalesce("__reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")).select(F.lit(k).alias("position"), F.lit(name).alias("stage"), "reason", "n")
             stats = s if stats is None else stats.unionByName(s)
             df = judged.where("__reason is null").drop("__reason")
