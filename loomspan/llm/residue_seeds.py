@@ -29,7 +29,7 @@ Something went wrong on our side and our team has been told. The server met an u
 We could not connect to the database. Error establishing a database connection. The upstream service did not answer in time. The site is down for maintenance. The service is temporarily unavailable.
 You don't have permission to view this resource. You don't have permission to access this page. Access denied. Your request was blocked by our security rules. Permission denied.
 Your session has expired, please log in again. You have reached your limit. Rate limit exceeded. This content is not available in your country. This content is no longer available.
-Nothing here. Nothing was found. Maybe try a search? Contact the site owner if this keeps happening. Contact the administrator if the problem persists. Ray ID: 5f6e7d8c. Verify you are human to continue. Verify you are human to access this page. The link you followed may be broken. Generation failed: model endpoint returned status 503. <error><code>502</code><message>Bad Gateway</message><id>0a1b2c</id></error> Checking your browser before you continue. This may take a few seconds. Verify you are human to view this page.
+Nothing here. Nothing was found. Maybe try a search? Contact the site owner if this keeps happening. Contact the administrator if the problem persists. Ray ID: 5f6e7d8c. Verify you are human to see the full text. Ray 0a1b2c3d4e. Verify you are human to continue. Verify you are human to access this page. The link you followed may be broken. Generation failed: model endpoint returned status 503. <error><code>502</code><message>Bad Gateway</message><id>0a1b2c</id></error> Checking your browser before you continue. This may take a few seconds. Verify you are human to view this page.
 ERR_CONNECTION_TIMED_OUT ERR_CONNECTION_REFUSED ERR_NAME_NOT_RESOLVED DNS_PROBE_FINISHED_NXDOMAIN
 Traceback (most recent call last): File "main.py", line 10, in run TimeoutError: no answer after 30 s ValueError KeyError NullPointerException exception in thread main at line
 null pointer at 0x00000000 segmentation fault (core dumped) Warning: undefined index 'title' in page.php on line 12 Fatal error: uncaught exception. upstream closed the connection, code 502 [proxy] [error]
@@ -50,6 +50,22 @@ Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. JavaScript ist in Ih
 Active JavaScript en su navegador para ver esta página. JavaScript está desactivado en su navegador. Este sitio necesita JavaScript para mostrar esta página. Debe habilitar las cookies. Su navegador no admite JavaScript. Sin JavaScript no se puede cargar la página.
 """
 
+# Plain prose of some languages, also about the things above, so that a small corpus isn't all that counts as natural.
+NATURAL = """
+The road along the river was closed for three days, because the water had come over the fields after the heavy rain.
+My sister asked whether we could meet in the old market hall, but nobody knew when it would be open again.
+The placeholder in the first column stands for the name of the customer, and our examples show how it is filled.
+When a page is missing, the server returns a status and the program writes a line to its log; most users never see it.
+If scripts are disabled in the browser, the form still works, although the preview of the letter is not shown.
+They explained that the template of the report had been changed last year and that an error in it went unnoticed.
+La route le long de la rivière est restée fermée pendant trois jours, parce que l'eau avait couvert les champs.
+Quand une page manque, le serveur renvoie un code et le programme écrit une ligne dans son journal.
+Die Straße am Fluss war drei Tage lang gesperrt, weil das Wasser nach dem Regen über die Felder gekommen war.
+Wenn eine Seite fehlt, meldet der Server einen Fehler, und das Programm schreibt eine Zeile in sein Protokoll.
+La carretera junto al río estuvo cerrada tres días, porque el agua había cubierto los campos después de la lluvia.
+Cuando falta una página, el servidor devuelve un código y el programa escribe una línea en su registro.
+"""
+
 # Forms of open slots.
 SLOT = (
     r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]|\{(?:\d{1,2}|[a-z][a-z_]{1,30})\}|%[A-Z][A-Z_]{2,30}%|__[A-Z][A-Z_]{2,30}__"

@@ -93,6 +93,17 @@ def _line(line: str, ratios: np.ndarray) -> tuple[int, np.ndarray]:
     return int(alnum.sum()), hit
 
 
+def _any_window(piece: str, ratios: np.ndarray) -> bool:
+    """Whether a window of the piece may be residue. Windows of its lines, which are shorter at their ends, are covered by a lower cut."""
+    g = grams(_squeeze(piece))
+    if len(g) < 3 * WINDOW:
+        return True
+    top = ratios[:, g]
+    total = np.concatenate([np.zeros((len(KINDS), 1), np.float32), np.cumsum(top, axis=1, dtype=np.float64)], axis=1)
+    w = 5  # as short as a line can be
+    return bool(((total[:, w:] - total[:, :-w]) / w > CUT).any() and ((total[:, WINDOW:] - total[:, :-WINDOW]) / WINDOW > CUT - 0.35).any())
+
+
 def open_slots(text: str) -> int:
     """Slots in sentences that do not speak of slots, outside code."""
     if not _SLOT.search(text):
@@ -110,6 +121,11 @@ def measure(text: str, ratios: np.ndarray) -> tuple[float, int, int, str]:
     total = body = 0
     hits = np.zeros(len(KINDS), np.int64)
     for piece in _pieces(text):
+        if not _any_window(piece, ratios):
+            n = sum(map(len, piece.split()))
+            total += n
+            body += n
+            continue
         for line in piece.split("\n"):
             if not line.strip():
                 continue
@@ -157,7 +173,7 @@ def _table(docs: DataFrame, kinds: int, ratios: np.ndarray | None) -> np.ndarray
 def fit(documents: DataFrame) -> np.ndarray:
     """Log ratios of the residue models, from the seeds and all documents."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    natural, residue = _table(docs, 1, None)[0], seed_counts()
+    natural, residue = _table(docs, 1, None)[0] + sum(np.bincount(grams(x), minlength=1 << BITS) for x in seeds.NATURAL.strip().splitlines()), seed_counts()
     first = log_ratios(residue, natural)
     more = _table(docs, len(KINDS), first)
     weight = np.minimum(1.0, residue.sum(axis=1) / np.maximum(more.sum(axis=1), 1))[:, None]  # as much as the seeds at most
