@@ -45,8 +45,7 @@ def shingles(ws: Column, n: int) -> Column:
 
 def repetition(ws: Column, n: int = 3) -> Column:
     """Share of n-grams that repeat an earlier one: 1 - distinct / all, 0 below ``n`` words."""
-    g = ngrams(ws, n)
-    return F.when(F.size(ws) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return F.when(F.size(ws) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(ngrams(ws, n))) / (F.size(ws) - (n - 1)))
 
 
 def repeated_share(g: Column) -> Column:
@@ -57,13 +56,18 @@ def repeated_share(g: Column) -> Column:
     return F.when(n > 0, twice / F.size(F.array_distinct(g))).otherwise(0.0)
 
 
-def coherence(text: Column) -> Column:
-    """Mean overlap of the word sets of adjacent sentences, 1 with fewer than two sentences."""
-    sents = F.filter(F.transform(F.split(text, "[.!?]+"), trimmed), lambda s: s != "")
-    sets = F.transform(sents, lambda s: F.array_distinct(words(s)))
+def sentence_sets(text: Column) -> Column:
+    """The word set of every sentence that isn't blank."""
+    return F.transform(F.filter(F.transform(F.split(text, "[.!?]+"), trimmed), lambda s: s != ""), lambda s: F.array_distinct(words(s)))
+
+
+def coherence(sets: Column) -> Column:
+    """Mean overlap of the word sets of adjacent sentences, 1 with fewer than two. ``sets`` is best a column of its own."""
     n = F.size(sets)
-    pairs = F.zip_with(F.slice(sets, 1, F.greatest(n - 1, F.lit(0))), F.slice(sets, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0))
-    return F.when(n < 2, F.lit(1.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (n - 1))
+    m = F.greatest(n - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(sets, 1, m).alias("a"), F.slice(sets, 2, m).alias("b"))
+    overlap = lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), F.size(F.array_intersect(x["a"], x["b"])) / F.least(F.size(x["a"]), F.size(x["b"]))).otherwise(0.0)
+    return F.when(n < 2, F.lit(1.0)).otherwise(F.aggregate(F.transform(pairs, overlap), F.lit(0.0), lambda s, x: s + x) / (n - 1))
 
 
 def count_contained(text: Column, phrases: list[str]) -> Column:

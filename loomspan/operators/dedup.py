@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.hashing import WordHashes, shingle_hashes
 from ..scratch import materialize
 
 
@@ -36,15 +36,14 @@ def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     def run(batches):
         for batch in batches:
-            out = []
-            for sh in batch.column(1).to_pylist():
-                x = np.fromiter({xxhash.xxh3_64_intdigest(s) for s in sh}, np.uint64)
+            out, cache = [], WordHashes()
+            for t in batch.column(1).to_pylist():
+                x = shingle_hashes(t.lower().split(), ngram, cache)
                 out.append(((x[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.int64))
             flat = np.concatenate(out) if out else np.empty(0, np.int64)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, permutations, dtype=np.int32)), pa.array(flat))], names=["id", "signature"])
 
-    ws = df.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), T.words(F.col(text_column)).alias("ws"))
-    return ws.select("id", T.shingles(F.col("ws"), ngram).alias("sh")).mapInArrow(run, "id long, signature array<long>")
+    return df.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, signature array<long>")
 
 
 def bands_for(threshold: float, permutations: int) -> tuple[int, int]:

@@ -95,7 +95,8 @@ def ngram_repetition(df: DataFrame, response: str = "response", sizes: tuple[int
 
 def repeated_phrases(df: DataFrame, response: str = "response", n: int = 4, top: int = 20, least: int = 3) -> DataFrame:
     """(phrase, n, rate): the most frequent n-grams over all responses, ties by phrase."""
-    g = df.select(F.explode(T.ngrams(T.words(F.col(response)), n)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    w = df.select(T.words(F.col(response)).alias("w"))
+    g = w.select(F.explode(T.ngrams(F.col("w"), n)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     best = g.orderBy(F.desc("n"), "g").limit(top).where(F.col("n") >= least)
     return best.join(F.broadcast(df.agg(F.count("*").alias("rows")))).select(F.replace("g", F.lit("\x01"), F.lit(" ")).alias("phrase"), "n", (F.col("n") / F.col("rows")).alias("rate"))
 

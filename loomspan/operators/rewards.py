@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 PERCENTILES = (5, 25, 50, 75, 95)
 
 
+def percentiles(df: DataFrame, column: str, points: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by..., point, value): exact linear percentiles of all rows or groups, without gathering a group in one task.
+
+    Values are counted, the counts sorted by range, and running totals made up of those within a partition and those
+    of the partitions before; only the two values around each point leave the partitions.
+    """
+    spark, by = df.sparkSession, by or []
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by)) if by else F.array().cast("array<string>")
+    counts = df.where(F.col(column).isNotNull()).groupBy(key.alias("k"), *by, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    x = materialize(counts.repartitionByRange(n, "k", "v").withColumn("part", F.spark_partition_id()), "counts")
+    sums = x.groupBy("k", "part").agg(F.sum("c").alias("s"))  # a row for each group and partition it is in
+    before = sums.select("k", "part", (F.sum("s").over(Window.partitionBy("k").orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy("k")).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy("k", "part").orderBy("v")) + F.col("before")
+    ranked = x.join(before, ["k", "part"]).withColumn("upto", upto)
+    at = F.explode(F.array(*(F.lit(float(p)) for p in points))).alias("point")
+    place = F.col("point") * (F.col("n") - 1)
+    # a value holds the places from upto - c to upto - 1
+    hit = ranked.select(*by, "k", "v", "c", "upto", "n", at).withColumn("lo", F.floor(place)).withColumn("hi", F.least(F.floor(place) + 1, F.col("n") - 1)).withColumn("part", place - F.floor(place))
+    holds = lambda r: (F.col(r) >= F.col("upto") - F.col("c")) & (F.col(r) < F.col("upto"))
+    near = hit.where(holds("lo") | holds("hi"))
+    g = near.groupBy("k", *by, "point").agg(F.max(F.when(holds("lo"), F.col("v"))).alias("a"), F.max(F.when(holds("hi"), F.col("v"))).alias("b"), F.first("part").alias("f"))
+    return g.select(*by, "point", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
+
+
 def distribution(df: DataFrame, reward: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, population deviation, extremes, median and linear percentiles, over all rows or by groups."""
-    x = F.col(reward)
-    cols = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    cols += [F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in PERCENTILES]
-    return (df.groupBy(*by) if by else df.groupBy()).agg(*cols)
+    x, by = F.col(reward), by or []
+    base = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    p = percentiles(df, reward, tuple(q / 100 for q in PERCENTILES), by)
+    wide = p.groupBy(*by).agg(*(F.max(F.when(F.abs(F.col("point") - q / 100) < 1e-9, F.col("value"))).alias(f"p{q}") for q in PERCENTILES))
+    if not by:
+        return base.join(F.broadcast(wide))
+    same = [base[c].eqNullSafe(wide[c]) for c in by]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return base.join(wide, cond, "left").select(*(base[c] for c in base.columns), *(wide[f"p{q}"] for q in PERCENTILES))
 
 
 def histogram(df: DataFrame, reward: str, bins: int = 50) -> DataFrame:

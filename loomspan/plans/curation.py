@@ -41,7 +41,8 @@ _COHERENCE = "case when len(s) < 2 then 1.0::double else list_sum(list_transform
 
 @query(f"select doc_id, round({_COHERENCE}, 6) score from (select doc_id, {_SENTS} s from documents)")
 def coherence_score(read, spark):
-    return read("documents").select("doc_id", F.round(T.coherence(F.col("text")), 6).alias("score"))
+    d = read("documents").select("doc_id", T.sentence_sets(F.col("text")).alias("sets"))
+    return d.select("doc_id", F.round(T.coherence(F.col("sets")), 6).alias("score"))
 
 
 @query("select doc_id from (select doc_id, row_number() over (partition by sha256(text) order by doc_id) r from documents) where r = 1")

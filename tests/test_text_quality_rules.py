@@ -52,7 +52,7 @@ TEXTS = [
 
 def test_reasons_and_scores(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = {r.doc_id: r for r in quality.with_reason(df).withColumn("w", T.words(F.col("text"))).select("doc_id", "reason", T.repetition(F.col("w")).alias("r"), T.coherence(F.col("text")).alias("c")).collect()}
+    got = {r.doc_id: r for r in quality.with_reason(df).withColumn("w", T.words(F.col("text"))).select("doc_id", "reason", T.repetition(F.col("w")).alias("r"), T.coherence(T.sentence_sets(F.col("text"))).alias("c")).collect()}
     for k, t in enumerate(TEXTS):
         assert got[k].reason == reason(t)
         if t is not None:
