@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import share
+from .ordering import running_counts
 
 
 def summary(df: DataFrame, value: str, by: str = "model") -> DataFrame:
@@ -52,7 +53,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     d = F.col(a) - F.col(b)
     by = df.where(d.isNotNull() & (d != 0)).groupBy(F.abs(d).alias("m")).agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"))
-    c = by.withColumn("c", F.col("up") + F.col("down")).withColumn("upto", F.sum(F.col("up") + F.col("down")).over(Window.orderBy("m")))
+    c = running_counts(by.withColumn("c", F.col("up") + F.col("down")), [], "m")
     r = F.col("upto") - (F.col("c") - 1) / 2
     return c.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(r * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(r * F.col("down")), F.lit(0.0)).alias("w_minus"))
 
@@ -101,14 +102,16 @@ def wilcoxon_p_value(w_plus: float, w_minus: float, n: int) -> float:
 def samples(df: DataFrame, a: str, b: str, key: str, n: int = 10) -> DataFrame:
     """(key, diff, winner, region): clear wins of either side and close calls, at most ``n``.
 
-    The top takes one more than a third where ``n`` isn't divisible by 3. Places at both ends and around the middle come
-    from a range of the sorted differences; only these rows are ranked globally.
+    The top takes one more than a third where ``n`` isn't divisible by 3. Places come from running counts over the
+    differences, ties by key.
     """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("key"), (F.col(a) - F.col(b)).alias("diff"))
     top, bottom, mid = -(-n // 3), n // 3, n // 6
-    total = d.count()
-    up = d.orderBy(F.desc("diff"), F.desc("key")).limit(top).select("key", "diff", F.lit("A").alias("winner"), F.lit("top").alias("region"))
-    down = d.orderBy("diff", "key").limit(bottom).select("key", "diff", F.lit("B").alias("winner"), F.lit("bottom").alias("region"))
-    lo, hi = max(0, total // 2 - mid), total // 2 + mid
-    close = d.orderBy("diff", "key").offset(lo).limit(max(0, hi - lo)).select("key", "diff", F.when(F.abs("diff") < 0.1, "Tie").when(F.col("diff") > 0, "A").otherwise("B").alias("winner"), F.lit("middle").alias("region"))
-    return up.unionByName(down).unionByName(close)
+    order = F.struct("diff", "key")
+    x = running_counts(d.withColumn("c", F.lit(1)).withColumn("v", order), [], "v").withColumn("half", F.floor(F.col("n") / 2))
+    regions = (
+        (F.col("upto") > F.col("n") - top, F.lit("A"), "top"), (F.col("upto") <= bottom, F.lit("B"), "bottom"),
+        ((F.col("upto") > F.greatest(F.col("half") - mid, F.lit(0))) & (F.col("upto") <= F.col("half") + mid), F.when(F.abs("diff") < 0.1, "Tie").when(F.col("diff") > 0, "A").otherwise("B"), "middle"),
+    )
+    hits = F.filter(F.array(*(F.when(cond, F.struct(w.alias("winner"), F.lit(name).alias("region"))) for cond, w, name in regions)), lambda r: r.isNotNull())
+    return x.select("key", "diff", F.explode(hits).alias("r")).select("key", "diff", "r.winner", "r.region")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from .ordering import running_counts
 
 PERCENTILES = (5, 25, 50, 75, 95)
 
@@ -13,25 +13,20 @@ PERCENTILES = (5, 25, 50, 75, 95)
 def percentiles(df: DataFrame, column: str, points: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
     """(by..., point, value): exact linear percentiles of all rows or groups, without gathering a group in one task.
 
-    Values are counted, the counts sorted by range, and running totals made up of those within a partition and those
-    of the partitions before; only the two values around each point leave the partitions.
+    Values are counted and the counts get running totals; only the two values around each point go on.
     """
-    spark, by = df.sparkSession, by or []
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by)) if by else F.array().cast("array<string>")
-    counts = df.where(F.col(column).isNotNull()).groupBy(key.alias("k"), *by, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    x = materialize(counts.repartitionByRange(n, "k", "v").withColumn("part", F.spark_partition_id()), "counts")
-    sums = x.groupBy("k", "part").agg(F.sum("c").alias("s"))  # a row for each group and partition it is in
-    before = sums.select("k", "part", (F.sum("s").over(Window.partitionBy("k").orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy("k")).alias("n"))
-    upto = F.sum("c").over(Window.partitionBy("k", "part").orderBy("v")) + F.col("before")
-    ranked = x.join(before, ["k", "part"]).withColumn("upto", upto)
-    at = F.explode(F.array(*(F.lit(float(p)) for p in points))).alias("point")
-    place = F.col("point") * (F.col("n") - 1)
+    by = by or []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ranked = running_counts(counts, by, "v")
     # a value holds the places from upto - c to upto - 1
-    hit = ranked.select(*by, "k", "v", "c", "upto", "n", at).withColumn("lo", F.floor(place)).withColumn("hi", F.least(F.floor(place) + 1, F.col("n") - 1)).withColumn("part", place - F.floor(place))
-    holds = lambda r: (F.col(r) >= F.col("upto") - F.col("c")) & (F.col(r) < F.col("upto"))
-    near = hit.where(holds("lo") | holds("hi"))
-    g = near.groupBy("k", *by, "point").agg(F.max(F.when(holds("lo"), F.col("v"))).alias("a"), F.max(F.when(holds("hi"), F.col("v"))).alias("b"), F.first("part").alias("f"))
+    holds = lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))
+    lo = lambda p: F.floor(p * (F.col("n") - 1))
+    hi = lambda p: F.least(lo(p) + 1, F.col("n") - 1)
+    at = F.filter(F.array(*(F.lit(float(p)) for p in points)), lambda p: holds(lo(p)) | holds(hi(p)))
+    near = ranked.select(*by, "v", "c", "upto", "n", F.explode(at).alias("point"))
+    q = F.col("point")
+    near = near.select(*by, "point", "v", holds(lo(q)).alias("low"), holds(hi(q)).alias("high"), (q * (F.col("n") - 1) - lo(q)).alias("f"))
+    g = near.groupBy(*by, "point").agg(F.max(F.when(F.col("low"), F.col("v"))).alias("a"), F.max(F.when(F.col("high"), F.col("v"))).alias("b"), F.first("f").alias("f"))
     return g.select(*by, "point", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
 
 
