@@ -77,15 +77,15 @@ def query_similar(index: DataFrame, probes: DataFrame, bands: int = 9, rows: int
     return p.join(index, ["band", "key"]).select("probe", "id").distinct()
 
 
-def jaccard_pairs(df: DataFrame, threshold: float = 0.8, ngram: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(a, b, similarity): pairs of *different shingle sets* of at least the threshold, a and b being the smallest ids of their sets.
-
-    Shingles are ordered by rarity; two sets above the threshold share one of their first n - ceil(t * n) + 1. Sets
-    that are equal are one entry, so copies cost nothing.
-    """
+def _shingle_rows(df: DataFrame, ngram: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, key, s): the sorted shingle hashes of each text that isn't null, and a digest of them."""
     ws = df.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), T.words(F.col(text_column)).alias("ws"))
     sets = ws.select("id", F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("ws"), ngram), lambda s: F.xxhash64(s)))).alias("s"))
-    sets = materialize(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n")), "sets")
+    return sets.select("id", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256).alias("key"), "s")
+
+
+def _set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of at least the threshold among different sets (id, s, n)."""
     each = sets.select("id", "n", F.explode("s").alias("g"))
     df_ = each.groupBy("g").agg(F.count("*").alias("df"))
     ranked = each.join(df_, "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
@@ -97,6 +97,35 @@ def jaccard_pairs(df: DataFrame, threshold: float = 0.8, ngram: int = 5, id_colu
     return x.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def jaccard_classes(df: DataFrame, threshold: float = 0.8, ngram: int = 5, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Membership (id, class) of each text that isn't null, and the pairs of ``jaccard_pairs``, whose ids are classes.
+
+    A class is a shingle set, named by its smallest id: its members have similarity 1 to one another and the same to any other text.
+    """
+    rows = materialize(_shingle_rows(df, ngram, id_column, text_column), "shingles")
+    sets = materialize(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("s").alias("s")).withColumn("n", F.size("s")), "sets")
+    return rows.select("id", "key").join(sets.select("key", F.col("id").alias("class")), "key").select("id", "class"), _set_pairs(sets, threshold)
+
+
+def jaccard_pairs(df: DataFrame, threshold: float = 0.8, ngram: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(a, b, similarity): pairs of *different shingle sets* of at least the threshold, a and b being the smallest ids of their sets.
+
+    Shingles are ordered by rarity; two sets above the threshold share one of their first n - ceil(t * n) + 1. Sets
+    that are equal are one entry, so copies cost nothing; ``jaccard_classes`` also gives who is in which set.
+    """
+    return jaccard_classes(df, threshold, ngram, id_column, text_column)[1]
+
+
+def jaccard_keep(df: DataFrame, threshold: float = 0.8, ngram: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id): rows kept when each in the order of ids is dropped if similar to an earlier kept one. Null texts are kept.
+
+    The first row of a class decides for it: the others are dropped, as it or what dropped it is similar to them too.
+    """
+    members, pairs = jaccard_classes(df, threshold, ngram, id_column, text_column)
+    kept = greedy_keep(members.select(F.col("class").alias("id")).distinct(), pairs)
+    return kept.union(df.where(F.col(text_column).isNull()).select(F.col(id_column).alias("id")))
+
+
 def greedy_keep(ids: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id): rows kept when each in the order of ids is dropped if linked to an earlier kept one.
 

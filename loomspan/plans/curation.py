@@ -81,8 +81,7 @@ def minhash_dedup(read, spark):
 
 @query()
 def near_dup_greedy_keep(read, spark):
-    texts = dedup.exact_dedup(read("quality_texts"), "id")
-    return dedup.greedy_keep(texts.select("id"), dedup.jaccard_pairs(texts, id_column="id"))
+    return dedup.jaccard_keep(read("quality_texts"), id_column="id")
 
 
 _LEXICON = ["idiot", "moron", "scumbag", "shit", "fuck", "naked", "vermin"]

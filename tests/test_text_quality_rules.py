@@ -105,6 +105,25 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in dedup.jaccard_pairs(df).collect()} == want and want
 
 
+def test_jaccard_keep_against_brute_force(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = base[:30] + ["x"] + base[31:]
+    texts = [" ".join(near), " ".join(base).upper(), "  ".join(base), "\u00a0".join(near), " ".join(base), "short", "Short ", "", " ", "\u00a0", " ".join(near[:59]), " ".join(reversed(base))]
+    df = spark.createDataFrame([*enumerate(texts), (20, None), (21, None)], "doc_id long, text string")
+
+    def sh(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    kept = []
+    for k, t in enumerate(texts):
+        if all(len(sh(t) & sh(texts[j])) / len(sh(t) | sh(texts[j])) < 0.8 for j in kept):
+            kept.append(k)
+    assert sorted(r.id for r in dedup.jaccard_keep(df).collect()) == [*kept, 20, 21]
+    members, _ = dedup.jaccard_classes(df)
+    assert {r.id: r["class"] for r in members.collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: 7, 10: 10, 11: 11}
+
+
 def test_minhash_bands_and_index(spark):
     assert dedup.bands_for(0.8, 128) == (9, 13)
     words = [f"w{i}" for i in range(100)]
