@@ -254,15 +254,17 @@ def _calibrate(model: Model, background: dict, total: int, positive: list, negat
 
 
 def _score(batches, model: Model):
-    strong = frozenset(t for t, w in model.single.items() if w > 1)
     for b in batches:
         rows = []
         for t in b.column(2).to_pylist():
             ts = tokens(t) if t else []
-            if not ts or (strong.isdisjoint(ts) and strong.isdisjoint(map(model.known, ts))):
-                rows.append((0.0, model.significance(0.0, len(ts)) if ts else None, 0, None, False))
+            if not ts:
+                rows.append((0.0, None, 0, None, False))
                 continue
             s = model.scores(ts)
+            if max(s) <= 0:  # no segment at all
+                rows.append((0.0, model.significance(0.0, len(ts)), 0, None, False))
+                continue
             a, e, v = best_segment(s)
             z = model.significance(v, len(ts))
             n = sum(model.significance(x, len(ts)) >= model.cut for _, _, x in maximal_segments(s))

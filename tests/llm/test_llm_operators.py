@@ -251,6 +251,23 @@ def test_toxic_passages(spark):
     assert none.where("toxic").count() == 0
 
 
+def test_passages_of_common_words_are_scored():
+    import pyarrow as pa
+
+    model = tx.Model(single={"a": 0.9, "b": 0.9, "c": 0.9, "d": -0.2}, pair={("a", "b"): 1.5, ("b", "c"): 1.5, ("x", "d"): 1.5}, cut=4.0)
+    texts = ["so a b c then", "x d", "so then", "", None, "a"]
+    n = len(texts)
+    batch = pa.record_batch([pa.array(["q"] * n), pa.array(range(n)), pa.array(texts, pa.string())], names=["table_name", "row_id", "text"])
+    got = [x for b in tx._score([batch], model) for x in b.to_pylist()]
+    for x, t in zip(got, texts):
+        ts = tx.tokens(t or "")
+        want = max([0.0] + [sum(model.scores(ts)[i:j]) for i in range(len(ts)) for j in range(i + 1, len(ts) + 1)])
+        assert abs(x["score"] - want) < 1e-9
+        assert x["significance"] == (model.significance(x["score"], len(ts)) if ts else None)
+    assert [x["toxic"] for x in got] == [True, False, False, False, False, False]
+    assert got[0]["passage"] == "a b c" and [x["passages"] for x in got] == [1, 0, 0, 0, 0, 0]
+
+
 # 5
 
 
