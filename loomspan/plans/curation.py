@@ -92,7 +92,7 @@ _LEXICON = ["idiot", "moron", "scumbag", "shit", "fuck", "naked", "vermin"]
  from (select {contained('lower(text)', _LEXICON)} > 0 f, toxic = 1 y from toxicity_labels join quality_texts on row_id = id where table_name = 'quality_texts' and text is not null)"""
 )
 def lexicon_vs_labels(read, spark):
-    labels = F.broadcast(read("toxicity_labels").where("table_name = 'quality_texts'").limit(20_000))  # a bounded sample of reviews
+    labels = read("toxicity_labels").where("table_name = 'quality_texts'")
     x = labels.join(read("quality_texts").select("id", "text"), F.col("row_id") == F.col("id")).where("text is not null")
     flagged = x.withColumn("flag", T.count_contained(F.lower("text"), _LEXICON) > 0)
     out = screening.evaluate(flagged, "flag", "toxic")

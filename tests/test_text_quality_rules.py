@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.operators import dedup, quality
 from loomspan.operators.curation import Curator
+from loomspan.plans import curation as plans
 
 
 def repetition(text, n=3):
@@ -143,3 +144,10 @@ def test_curator_counts_only_survivors(spark):
     assert {(r.stage, r.reason, r.n) for r in stats.collect()} == {("quality", "kept", 2), ("quality", "too_short", 1), ("quality", "invalid_type", 1), ("dedup", "kept", 1), ("dedup", "exact_duplicate", 1)}
     merged = quality.merge_stats(stats.select("reason", "n"), stats.select("reason", "n"))
     assert {r.reason: r.n for r in merged.collect()}["kept"] == 6
+
+
+def test_lexicon_is_judged_by_all_verdicts(spark):
+    ids = spark.range(30_000)
+    tables = {"toxicity_labels": ids.select(F.lit("quality_texts").alias("table_name"), F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("toxic")), "quality_texts": ids.select("id", F.when(F.col("id") % 4 < 2, "an idiot").otherwise("a text").alias("text"))}
+    r = plans.lexicon_vs_labels(tables.get, spark).first()
+    assert (r.tp, r.fp, r.fn, r.tn) == (7500, 7500, 7500, 7500)
