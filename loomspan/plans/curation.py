@@ -225,6 +225,13 @@ def parse_sections(read, spark):
     return x.where("p is not null and not contains(r, '###')").select("doc_id", "p.instruction", "response")
 
 
+@query()
+def parse_instructions(read, spark):
+    """All documents with an instruction section; parse_sections is the part of them that its SQL can say."""
+    x = read("documents").select("doc_id", synthetic.parse_instruction(F.col("text")).alias("p"), synthetic.section(F.col("text"), "Response").alias("response"))
+    return x.where("p is not null").select("doc_id", "p.instruction", "p.input", "p.output", "response")
+
+
 @query()
 def diverse_instructions(read, spark):
     p = read("preference_pairs").where("prompt is not null")

@@ -151,3 +151,22 @@ def test_lexicon_is_judged_by_all_verdicts(spark):
     tables = {"toxicity_labels": ids.select(F.lit("quality_texts").alias("table_name"), F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("toxic")), "quality_texts": ids.select("id", F.when(F.col("id") % 4 < 2, "an idiot").otherwise("a text").alias("text"))}
     r = plans.lexicon_vs_labels(tables.get, spark).first()
     assert (r.tp, r.fp, r.fn, r.tn) == (7500, 7500, 7500, 7500)
+
+
+def test_parse_instructions_of_all_documents(spark):
+    texts = [
+        "### Instruction:\nDo it\n\n### Response:\nDone", "Below is a task.\n### instruction\nDo it\n### Input:\nN/A\n### Output:\nDone", "###Instruction: \n a\nb \n### INPUT:\nx y\n### Response:\nr\n### Note:\nz",
+        "### Instruction:\nNo response", "### Instruction:\n\n### Response:\nr", "plain", "", None,
+    ]
+
+    def sec(t, name):
+        m = re.search(rf"###\s*{name}:?\s*\n(.*?)(?=###|\Z)", t or "", re.DOTALL | re.IGNORECASE)
+        return m[1].strip() if m else ""
+
+    want = set()
+    for k, t in enumerate(texts):
+        i, x, o, r = (sec(t, n) for n in ("Instruction", "Input", "Output", "Response"))
+        if i:
+            want.add((k, i, "" if x in ("N/A", "None", "none") else x, o, r))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {tuple(r) for r in plans.parse_instructions(lambda _: df, spark).collect()} == want and len(want) == 4
