@@ -65,10 +65,24 @@ def band_table(sig: DataFrame, bands: int = 9, rows: int = 13) -> DataFrame:
     return sig.select("id", F.posexplode(keys).alias("band", "key"))
 
 
-def band_edges(table: DataFrame) -> DataFrame:
-    """(a, b), a < b: each row with the first of each of its buckets, which joins a bucket without listing all its pairs."""
-    first = table.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return table.join(first, ["band", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
+def bucket_drops(table: DataFrame) -> DataFrame:
+    """(id): rows dropped when each in the order of ids is dropped if it shares a bucket with an earlier kept one.
+
+    Rounds over buckets of several open rows: a row that is the smallest of each of its buckets is kept and drops the
+    others of them. The smallest open row always is, so the rounds come to an end, and no pairs are listed.
+    """
+    spark = table.sparkSession
+    out = spark.createDataFrame([], "id long")
+    alive = materialize(table.select("band", "key", F.col("id").cast("long").alias("id")).distinct(), "buckets")
+    while True:
+        firsts = alive.groupBy("band", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        x = materialize(alive.join(firsts, ["band", "key"]), "buckets")
+        if x.isEmpty():
+            return out
+        kept = x.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("kept")).where("kept").select("id")
+        dropped = materialize(x.join(kept.withColumnRenamed("id", "first"), "first", "left_semi").where("id > first").select("id").distinct(), "dropped")
+        out = out.union(dropped)
+        alive = x.select("band", "key", "id").join(dropped, "id", "left_anti").join(kept, "id", "left_anti")
 
 
 def query_similar(index: DataFrame, probes: DataFrame, bands: int = 9, rows: int = 13) -> DataFrame:
@@ -148,6 +162,6 @@ def greedy_keep(ids: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFram
 def minhash_dedup(df: DataFrame, threshold: float = 0.8, permutations: int = 128, ngram: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows that remain when near-duplicates of earlier kept rows are dropped."""
     bands, rows = bands_for(threshold, permutations)
-    edges = band_edges(band_table(signatures(df, id_column, text_column, permutations, ngram), bands, rows))
-    keep = greedy_keep(df.select(F.col(id_column).cast("long").alias("id")), edges)
+    dropped = bucket_drops(band_table(signatures(df, id_column, text_column, permutations, ngram), bands, rows))
+    keep = df.select(F.col(id_column).cast("long").alias("id")).join(dropped, "id", "left_anti")
     return df.join(keep.withColumnRenamed("id", id_column), id_column, "left_semi")

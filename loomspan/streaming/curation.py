@@ -40,8 +40,8 @@ def near_dedup_batch(index_path: str, out_path: str, id_column: str = "doc_id",
                 known = table.join(old, ["band", "key"], "left_semi").select("id").distinct()
             except Exception:  # no index yet
                 known = table.select("id").limit(0)
-            within = dedup.band_edges(table).select(F.col("b").alias("id"))
-            fresh = table.select("id").distinct().join(known.union(within).distinct(), "id", "left_anti")
+            unknown = table.join(known, "id", "left_anti")  # a row that is dropped for the index drops no other
+            fresh = unknown.select("id").distinct().join(dedup.bucket_drops(unknown), "id", "left_anti")
             kept = batch.join(fresh.withColumnRenamed("id", id_column), id_column, "left_semi")
             kept.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
             table.join(fresh, "id", "left_semi").write.mode("overwrite").parquet(f"{index_path}/epoch={epoch}")

@@ -1,5 +1,6 @@
 """Text columns and quality rules against plain Python restatements."""
 
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -170,3 +171,18 @@ def test_parse_instructions_of_all_documents(spark):
             want.add((k, i, "" if x in ("N/A", "None", "none") else x, o, r))
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert {tuple(r) for r in plans.parse_instructions(lambda _: df, spark).collect()} == want and len(want) == 4
+
+
+def test_bucket_drops_against_the_sequential_rule(spark):
+    r = random.Random(3)
+    cases = [[(0, 1, 1), (0, 1, 2), (1, 7, 2), (1, 7, 3), (1, 7, 4), (2, 5, 3), (2, 5, 4)]]  # 2 is dropped for 1, so 3 is kept and drops 4
+    cases += [[(b, r.randrange(12), k) for b in range(3) for k in range(40)]]
+    for rows in cases:
+        buckets, kept = {}, set()
+        for b, key, k in rows:
+            buckets.setdefault(k, set()).add((b, key))
+        for k in sorted(buckets):
+            if not any(buckets[k] & buckets[j] for j in kept):
+                kept.add(k)
+        got = {x.id for x in dedup.bucket_drops(spark.createDataFrame(rows, "band int, key long, id long")).collect()}
+        assert set(buckets) - got == kept
