@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import materialize
 
 # Phrases of failed evolutions.
 EVOLUTION_FAILURES = ["i cannot", "i'm sorry", "as an ai", "i don't understand"]
@@ -78,28 +80,66 @@ def rouge_l(a: list[str], b: list[str]) -> float:
     return 0.0 if not lcs else 2 * lcs / (len(a) + len(b))
 
 
-def diverse(df: DataFrame, id_column: str = "id", text_column: str = "instruction", limit: float = 0.7, history: int = 100, shards: int = 32) -> DataFrame:
+def _common(a: Counter, b: Counter) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    return sum(min(n, b[w]) for w, n in a.items() if w in b)
+
+
+def diverse(df: DataFrame, id_column: str = "id", text_column: str = "instruction", limit: float = 0.7, history: int = 100, shards: int | None = None, rows: int = 2000) -> DataFrame:
     """Rows that are not too similar to any of the last ``history`` accepted ones before them (in the order of ids).
 
-    The rule is sequential; shards, by a hash of the id, are judged independently, with one shard as the plain rule.
+    The rule is sequential. Chunks of at most ``rows`` rows in order are judged at once, at first as if nothing came before
+    them; a chunk is judged again while the accepted rows it began with aren't those its predecessor ends with, up to where its
+    earlier decisions must follow. The result depends neither on ``rows`` nor on ``shards``, the ranges that are sorted at once.
     """
+    kinds = dict(df.dtypes)
+    schema = f"chunk long, kind int, r long, id {kinds[id_column]}, text string, keep boolean, digest string"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        accepted: list[tuple[list[str], Counter]] = []
-        keep = []
-        for t in pdf.sort_values(id_column)[text_column]:
+        state, own = pdf[pdf["kind"] == 1].sort_values("r"), pdf[pdf["kind"] == 0].sort_values("r")
+        k = int(own["chunk"].iloc[0])
+        ends = list(zip(state["id"], state["text"]))
+        digest = lambda x: hashlib.sha1(repr([(str(i), t) for i, t in x]).encode()).hexdigest() if x else ""
+        began = digest(ends)
+
+        def entry(t):
             ws = re.findall(r"[a-z0-9]+", (t or "").lower())
-            bag = Counter(ws)
-            # words in common bound the subsequence from above
-            ok = all(2 * (bag & b).total() <= limit * (len(ws) + len(x)) or rouge_l(ws, x) <= limit for x, b in accepted[-history:])
+            return ws, Counter(ws)
+
+        window = deque((entry(t) for _, t in ends), maxlen=history)
+        keep, agreed, earlier = [], 0, own["keep"].tolist()
+        for t, old in zip(own["text"], earlier):
+            if agreed >= history:  # the last accepted rows are those of the earlier run, so the rest is as well
+                keep += earlier[len(keep) :]
+                break
+            ws, bag = entry(t)
+            # lengths and words in common bound the subsequence from above
+            ok = all(2 * min(len(ws), len(x)) <= (most := limit * (len(ws) + len(x))) or 2 * _common(bag, b) <= most or rouge_l(ws, x) <= limit for x, b in window)
             keep.append(ok)
+            agreed = 0 if old is None or bool(old) != ok else agreed + ok
             if ok:
-                accepted.append((ws, bag))
-        return pdf.sort_values(id_column)[keep][[id_column, text_column]]
-
-    x = df.select(id_column, text_column, F.pmod(F.xxhash64(id_column), F.lit(shards)).alias("shard"))
-    kinds = dict(df.dtypes)
-    return x.groupBy("shard").applyInPandas(lambda pdf: run(pdf), f"{id_column} {kinds[id_column]}, {text_column} string")
+                window.append((ws, bag))
+        ends = (ends + [e for e, ok in zip(zip(own["id"], own["text"]), keep) if ok])[-history:]
+        decided = own.assign(keep=[bool(x) for x in keep], digest=began)
+        tail = pd.DataFrame({"chunk": k + 1, "kind": 1, "r": range(len(ends)), "id": [i for i, _ in ends], "text": [t for _, t in ends], "keep": None, "digest": digest(ends)})
+        return pd.concat([decided.astype({"keep": object}), tail.astype({"keep": object})])[list(pdf.columns)]
+
+    n = shards or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = materialize(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).repartitionByRange(n, "id").withColumn("part", F.spark_partition_id()), "ordered")
+    chunks = x.groupBy("part").agg(F.ceil(F.count("*") / rows).alias("c"))  # a row a range
+    before = chunks.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id", "text")).cast("long")).join(F.broadcast(before), "part")
+    x = x.select((F.col("before") + F.floor((F.col("r") - 1) / rows)).cast("long").alias("chunk"), F.lit(0).alias("kind"), "r", "id", "text", F.lit(None).cast("boolean").alias("keep"), F.lit("").alias("digest"))
+    judged = materialize(x.groupBy("chunk").applyInPandas(run, schema), "judged")
+    while True:
+        used = judged.where("kind = 0").select("chunk", F.col("digest").alias("used")).distinct()
+        stale = materialize(judged.where("kind = 1").select("chunk", "digest").distinct().join(used, "chunk").where("digest <> used").select("chunk"), "stale")
+        if stale.isEmpty():
+            return judged.where("kind = 0 and keep").select(F.col("id").alias(id_column), F.col("text").alias(text_column))
+        again = judged.join(stale, "chunk", "left_semi").groupBy("chunk").applyInPandas(run, schema)
+        rest = judged.withColumn("by", F.col("chunk") - F.col("kind")).join(stale.withColumnRenamed("chunk", "by"), "by", "left_anti").drop("by")
+        judged = materialize(rest.unionByName(again), "judged")
 
 
 def combine(generated: DataFrame, evolved: DataFrame) -> DataFrame:

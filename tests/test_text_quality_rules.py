@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import dedup, quality
+from loomspan.operators import dedup, quality, synthetic
 from loomspan.operators.curation import Curator
 from loomspan.plans import curation as plans
 
@@ -186,3 +186,24 @@ def test_bucket_drops_against_the_sequential_rule(spark):
                 kept.add(k)
         got = {x.id for x in dedup.bucket_drops(spark.createDataFrame(rows, "band int, key long, id long")).collect()}
         assert set(buckets) - got == kept
+
+
+def test_diverse_is_sequential_across_chunks(spark):
+    r = random.Random(8)
+    families = [[f"f{k}x{i}" for i in range(8)] for k in range(12)]
+    texts = []
+    for _ in range(150):
+        ws = list(r.choice(families))
+        for _ in range(r.randrange(4)):
+            ws[r.randrange(8)] = f"z{r.randrange(9)}"
+        texts.append(" ".join(ws))
+    texts[70:73] = ["", None, "one"]
+    kept = []
+    for k, t in enumerate(texts):
+        ws = (t or "").split()
+        if all(synthetic.rouge_l(ws, (texts[j] or "").split()) <= 0.7 for j in kept[-10:]):
+            kept.append(k)
+    df = spark.createDataFrame([*enumerate(texts)], "id long, instruction string")
+    for rows in (7, 40):
+        assert sorted(x.id for x in synthetic.diverse(df, history=10, rows=rows).collect()) == kept
+    assert synthetic.diverse(df.limit(0)).count() == 0
