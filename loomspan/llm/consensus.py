@@ -3,9 +3,12 @@
 Annotator *i* votes *k* on task *j* of true label *z* with a probability in proportion to
 exp(ability_i * clarity_j * [k = z] + bias_ik): an annotator of negative ability tends to the wrong label, one with a
 bias to a label whatever the task, and a task of little clarity (great difficulty) makes all guess. Votes of a task lie
-in one row (no more than there are annotators, as each counts once). A pass over these rows finds, for the current annotators, the
-posterior and the clarity of each task by gradient steps of its own, and sums the annotators' gradients and curvatures
-before the shuffle; annotators then take one step. So the only state between passes is that of the annotators.
+in one row (no more than there are annotators, as each counts once). A pass over these rows finds, for the current
+annotators, the posterior and the clarity of each task by gradient steps of its own, and sums the annotators' gradients
+and information before the shuffle. Every annotator then takes one Newton step in ability and biases together (4 x 4
+information, so that the two don't chase each other), written with all others to one table, the only state between
+passes. The penalised likelihood is summed in the same pass: a step that lowers it is halved and tried again, so the
+fit rises until the largest step is below ``tolerance``; a fit that doesn't get there raises an error.
 """
 
 from __future__ import annotations
@@ -20,159 +23,193 @@ from .votes import LABELS
 
 ABILITY, SPREAD, CLARITY_SPREAD, BIAS_SPREAD = 1.5, 1.0, 0.35, 1.0  # priors
 _INNER = 4
-_SUMS = ("votes", "right", "ga", "ha", "gb0", "gb1", "gb2", "hb0", "hb1", "hb2")
+_SIZE = LABELS + 1  # parameters of an annotator: ability and a bias for each label
+_UPPER = [(i, j) for i in range(_SIZE) for j in range(i, _SIZE)]
+_GRAD, _INFO = [f"g{i}" for i in range(_SIZE)], [f"h{i}{j}" for i, j in _UPPER]
+_AT, _STEP = [f"t{i}" for i in range(_SIZE)], [f"s{i}" for i in range(_SIZE)]
+_TOTALS = ["ll", *(f"q{k}" for k in range(LABELS))]
+_SUMS = ["votes", "right", *_GRAD, *_INFO, *_TOTALS]
 
 
-def solve_tasks(n: np.ndarray, label: np.ndarray, ability: np.ndarray, bias: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Posterior and clarity (log) of each task, and the terms of each vote. ``n``: votes of each task, at least one."""
+def solve_tasks(n: np.ndarray, label: np.ndarray, at: np.ndarray, prior: np.ndarray, sums: bool = True) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Posterior (a row a label) and clarity (log) of each task, and the terms of each vote with the likelihood of each task.
+
+    ``n``: votes of each task, at least one; ``at``: ability and biases of each vote's annotator, a column a vote.
+    """
     starts = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(n)), n)
+    ability, bias = at[0], at[1:]
     d = np.zeros(len(n))
-    hot = label[:, None] == np.arange(LABELS)
+    e = np.exp(bias)
+    rest = e.sum(axis=0) - e
+    mine = bias[label, np.arange(len(label))]
+    hot = label[None, :] == np.arange(LABELS)[:, None]
+    start = np.log(prior)[:, None]
     for step in range(_INNER + 1):
-        a = ability * np.exp(d[owner])
-        e = np.exp(bias)
-        up = e * np.exp(a)[:, None]  # weight of label z when z is the truth
-        norm = e.sum(axis=1, keepdims=True) - e + up
-        logp = np.where(hot, bias + a[:, None], bias[np.arange(len(label)), label][:, None]) - np.log(norm)  # by truth
-        post = np.log(prior) + np.add.reduceat(logp, starts, axis=0)
-        post = np.exp(post - post.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-        q, p = post[owner], up / norm
-        g = (q * (hot - p)).sum(axis=1)
-        h = (q * p * (1 - p)).sum(axis=1)
+        clarity = np.exp(d[owner])
+        a = ability * clarity
+        up = e * np.exp(a)  # weight of label z when z is the truth
+        norm = rest + up
+        logs = start + np.add.reduceat(mine + a * hot - np.log(norm), starts, axis=1)
+        top = logs.max(axis=0)
+        post = np.exp(logs - top)
+        total = post.sum(axis=0)
+        post /= total
+        q, p = post[:, owner], up / norm
+        g = (q * (hot - p)).sum(axis=0)
+        h = (q * p * (1 - p)).sum(axis=0)
         if step < _INNER:
             slope = np.add.reduceat(g * a, starts) - d / CLARITY_SPREAD**2
             curve = np.add.reduceat(h * a * a, starts) + 1 / CLARITY_SPREAD**2
             d = np.clip(d + slope / curve, -1.5, 1.5)
-    b = np.exp(d[owner])
-    vote = {"ga": g * b, "ha": h * b * b, "right": (q * hot).sum(axis=1)}
+    if not sums:
+        return post, d, {}
+    vote = {"right": (q * hot).sum(axis=0), "votes": np.ones(len(label)), "g0": g * clarity, "h00": h * clarity**2}
+    each = [[p[z] if k == z else e[k] / norm[z] for k in range(LABELS)] for z in range(LABELS)]  # of a vote k when z is the truth
     for k in range(LABELS):
-        pk = e[:, k : k + 1] / norm  # probability of voting k by truth
-        pk[:, k] = p[:, k]
-        vote[f"gb{k}"] = hot[:, k] - (q * pk).sum(axis=1)
-        vote[f"hb{k}"] = (q * pk * (1 - pk)).sum(axis=1)
+        vote[f"g{k + 1}"] = hot[k] - sum(q[z] * each[z][k] for z in range(LABELS))
+        vote[f"h0{k + 1}"] = clarity * sum(q[z] * p[z] * ((k == z) - each[z][k]) for z in range(LABELS))
+        for j in range(k, LABELS):
+            vote[f"h{k + 1}{j + 1}"] = sum(q[z] * each[z][k] * ((k == j) - each[z][j]) for z in range(LABELS))
+    vote["ll"] = top + np.log(total) - d * d / (2 * CLARITY_SPREAD**2)
     return post, d, vote
 
 
-class Annotators:
-    """Keys, abilities and biases, sorted by key."""
-
-    def __init__(self, key: np.ndarray):
-        self.key = np.sort(key)
-        self.ability, self.bias = np.full(len(key), ABILITY), np.zeros((len(key), LABELS))
-        self.right, self.votes = np.zeros(len(key)), np.zeros(len(key))
-        self.prior = np.full(LABELS, 1 / LABELS)
-
-    def step(self, rows) -> float:
-        """Take the summed gradients; the largest change of an ability."""
-        at = np.searchsorted(self.key, rows["key"].astype("int64").to_numpy())
-        x = {k: np.zeros(len(self.key)) for k in _SUMS}
-        for k in _SUMS:
-            x[k][at] = rows[k].to_numpy(np.float64)
-        move = np.clip((x["ga"] - (self.ability - ABILITY) / SPREAD**2) / (x["ha"] + 1 / SPREAD**2), -1, 1)
-        self.ability = np.clip(self.ability + move, -4, 6)
-        common = np.average(self.bias, axis=0, weights=np.maximum(x["votes"], 1e-9)) if len(self.key) else np.zeros(LABELS)
-        for k in range(LABELS):
-            self.bias[:, k] += np.clip((x[f"gb{k}"] - (self.bias[:, k] - common[k]) / BIAS_SPREAD**2) / (x[f"hb{k}"] + 1 / BIAS_SPREAD**2), -1, 1)
-        self.bias -= self.bias.mean(axis=1, keepdims=True)
-        self.right, self.votes = x["right"], x["votes"]
-        return float(np.abs(move).max()) if len(move) else 0.0
-
-
-def _flat(batch, people: Annotators | None):
+def newton(sums: dict, at: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Step of each annotator, and its penalty at the place where the sums were taken."""
+    g = np.stack([sums[k] for k in _GRAD])
+    h = np.empty((at.shape[1], _SIZE, _SIZE))
+    for (i, j), k in zip(_UPPER, _INFO):
+        h[:, i, j] = h[:, j, i] = sums[k]
+    off = at - np.concatenate(([ABILITY], common))[:, None]
+    weight = np.array([1 / SPREAD**2] + [1 / BIAS_SPREAD**2] * LABELS)
+    g = g - off * weight[:, None]
+    h = h + np.diag(weight)
+    step = np.linalg.solve(h, g.T[:, :, None])[:, :, 0].T if at.shape[1] else np.zeros_like(at)
+    return np.clip(step, -1, 1), 0.5 * (off**2 * weight[:, None]).sum(axis=0)
+
+
+class _People:
+    """Parameters of annotators by key, for the tasks they are sent to."""
+
+    def __init__(self, rows):
+        order = np.argsort(rows["key"].to_numpy(np.int64))
+        self.key = rows["key"].to_numpy(np.int64)[order]
+        self.at = np.stack([rows[c].to_numpy(np.float64)[order] for c in _AT])
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return self.at[:, np.searchsorted(self.key, key)]
+
+
+def _flat(batch, people: _People | None):
     keys, labels = batch.column("keys"), batch.column("labels")
     n = np.diff(keys.offsets.to_numpy())
     key, label = keys.flatten().to_numpy(), labels.flatten().to_numpy().astype(np.int64)
-    if people is None:  # the rows bring the parameters of their annotators
-        ability = batch.column("ability").flatten().to_numpy()
-        bias = np.stack([batch.column(f"b{k}").flatten().to_numpy() for k in range(LABELS)], axis=1)
-    else:
-        at = np.searchsorted(people.key, key)
-        ability, bias = people.ability[at], people.bias[at]
-    return n, key, label, ability, bias
+    at = people.of(key) if people is not None else np.stack([batch.column(c).flatten().to_numpy() for c in _AT])  # or the rows bring them
+    return n, key, label, at
 
 
-def _gradients(batches, people: Annotators | None, prior: np.ndarray):
+def _gradients(batches, people: _People | None, prior: np.ndarray):
     for batch in batches:
         if not batch.num_rows:
             continue
-        n, key, label, ability, bias = _flat(batch, people)
-        post, _, vote = solve_tasks(n, label, ability, bias, prior)
-        who, at = np.unique(key, return_inverse=True)
-        vote["votes"] = np.ones(len(key))
-        cols = [pa.array(np.bincount(at, vote[k], len(who))) for k in _SUMS]
-        yield pa.record_batch([pa.array(who), *cols, *(pa.nulls(len(who), pa.float64()) for _ in range(LABELS))], names=["key", *_SUMS, "q0", "q1", "q2"])
-        none = [pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.float64()) for _ in _SUMS)]
-        yield pa.record_batch([*none, *(pa.array([float(x)]) for x in post.sum(axis=0))], names=["key", *_SUMS, "q0", "q1", "q2"])
+        n, key, label, at = _flat(batch, people)
+        post, _, vote = solve_tasks(n, label, at, prior)
+        who, place = np.unique(key, return_inverse=True)
+        one = {k: np.bincount(place, vote[k], len(who)) for k in _SUMS if k not in _TOTALS}
+        total = dict(zip(_TOTALS, (vote["ll"].sum(), *post.sum(axis=1))))
+        cols = [pa.array([*one[k], None] if k in one else [*([None] * len(who)), total[k]], pa.float64()) for k in _SUMS]
+        yield pa.record_batch([pa.array([*who.tolist(), None], pa.int64()), *cols], names=["key", *_SUMS])
+
 
+def _steps(batches, common: np.ndarray):
+    for b in batches:
+        x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in (*_SUMS, *_AT)}
+        step, penalty = newton(x, np.stack([x[c] for c in _AT]), common)
+        yield pa.record_batch([b.column("key"), *(b.column(c) for c in _AT), *(pa.array(s) for s in step), pa.array(penalty), b.column("votes"), b.column("right")], names=_STATE_NAMES)
 
-def _posteriors(batches, people: Annotators | None, prior: np.ndarray):
+
+_STATE_NAMES = ["key", *_AT, *_STEP, "penalty", "votes", "right"]
+_STATE = "key long, " + ", ".join(f"{c} double" for c in _STATE_NAMES[1:])
+
+
+def _posteriors(batches, people: _People | None, prior: np.ndarray):
     for batch in batches:
         if not batch.num_rows:
             continue
-        n, _, label, ability, bias = _flat(batch, people)
-        post, d, _ = solve_tasks(n, label, ability, bias, prior)
-        yield pa.record_batch([batch.column("task_id"), pa.array(n.astype(np.int64)), pa.array(np.exp(-d)), *(pa.array(post[:, k]) for k in range(LABELS))], names=["task_id", "votes", "difficulty", "p0", "p1", "p2"])
-
-
-_GRADIENTS = "key long, " + ", ".join(f"{k} double" for k in _SUMS) + ", q0 double, q1 double, q2 double"
+        n, _, label, at = _flat(batch, people)
+        post, d, _ = solve_tasks(n, label, at, prior, sums=False)
+        yield pa.record_batch([batch.column("task_id"), pa.array(n.astype(np.int64)), pa.array(np.exp(-d)), *(pa.array(p) for p in post)], names=["task_id", "votes", "difficulty", "p0", "p1", "p2"])
 
 
 class Consensus:
     """Fitted consensus of ``votes`` (task_id, annotator, label), one row for each annotator and task.
 
-    Up to ``broadcast_annotators`` annotators (72 bytes each) are sent to the tasks; more are joined to the votes. An empty
-    input gives empty results. Null labels or ids must have been left out before, see ``valid_votes``.
+    Up to ``broadcast_annotators`` annotators (40 bytes each) are sent to the tasks; more are joined to the votes, with
+    the same result. ``rounds_used``, ``last_change`` (largest step) and ``objective`` (penalised log-likelihood) tell how the fit ended; one
+    that hasn't settled after ``rounds`` raises an error. An empty input gives empty results. Null labels or ids must have
+    been left out before, see ``valid_votes``.
     """
 
-    def __init__(self, votes: DataFrame, rounds: int = 14, tolerance: float = 0.02, broadcast_annotators: int = 500_000):
+    def __init__(self, votes: DataFrame, rounds: int = 200, tolerance: float = 0.02, broadcast_annotators: int = 500_000):
         self.votes = materialize(votes.select("task_id", "annotator", F.xxhash64("annotator").alias("key"), F.col("label").cast("int").alias("label")), "votes")
-        keys = self.votes.groupBy("key").agg(F.count("*").alias("n"))
         packed = self.votes.groupBy("task_id").agg(F.collect_list(F.struct("key", "label")).alias("v")).select("task_id", F.col("v.key").alias("keys"), F.col("v.label").alias("labels"))
         self.tasks = materialize(packed, "tasks")
-        self.people = Annotators(keys.select("key").toPandas()["key"].to_numpy(np.int64))  # one number an annotator
-        self.small = len(self.people.key) <= broadcast_annotators
-        for _ in range(rounds):
-            people, prior = (self.people if self.small else None), self.people.prior
-            sums = self._rows().mapInArrow(lambda it, people=people, prior=prior: _gradients(it, people, prior), _GRADIENTS).groupBy("key").agg(*(F.sum(c).alias(c) for c in (*_SUMS, "q0", "q1", "q2"))).withColumn("key", F.col("key").cast("string")).toPandas()  # as text: pandas has no integers with nulls
-            total = sums[sums["key"].isna()]
-            if not len(total):
-                break
-            self.people.prior = np.maximum(total[["q0", "q1", "q2"]].to_numpy(np.float64)[0], 1.0)
-            self.people.prior /= self.people.prior.sum()
-            if self.people.step(sums[sums["key"].notna()]) < tolerance:
-                break
-
-    def _rows(self) -> DataFrame:
-        if self.small:
+        names = self.votes.groupBy("key").agg(F.count("*").cast("double").alias("votes"))
+        zeros = [F.lit(0.0).alias(c) for c in (*_STEP, "penalty")]
+        self.state = materialize(names.select("key", F.lit(ABILITY).alias("t0"), *(F.lit(0.0).alias(c) for c in _AT[1:]), *zeros, "votes", F.lit(0.0).alias("right")), "annotators")
+        self.small = self.state.count() <= broadcast_annotators
+        self.prior, self.objective, self.last_change, self.rounds_used = np.full(LABELS, 1 / LABELS), -np.inf, np.inf, 0
+        self.people = self._people(self.state)
+        self._fit(rounds, tolerance)
+
+    def _fit(self, rounds: int, tolerance: float) -> None:
+        place, base, prior, common, scale = self.state.select("key", *_AT), None, self.prior, np.zeros(LABELS), 1.0
+        for self.rounds_used in range(1, rounds + 1):
+            people = self._people(place)
+            sums = self._rows(people, place).mapInArrow(lambda it, people=people, prior=prior: _gradients(it, people, prior), "key long, " + ", ".join(f"{c} double" for c in _SUMS))
+            sums = materialize(sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS)), "sums")
+            total = sums.where("key is null").select(*_TOTALS).first()
+            if total is None:
+                self.objective, self.last_change = 0.0, 0.0
+                return
+            state = materialize(sums.where("key is not null").join(place, "key").mapInArrow(lambda it, common=common: _steps(it, common), _STATE), "annotators")
+            r = state.agg(F.sum("penalty"), F.max(F.greatest(*(F.abs(c) for c in _STEP))), *(F.avg(F.col(t) + F.col(s)) for t, s in zip(_AT[1:], _STEP[1:]))).first()
+            objective = total[0] - r[0]
+            if objective < self.objective - 1e-9 * abs(self.objective) and scale > 1e-3:  # too far: half the way
+                scale /= 2
+            else:
+                self.state, self.people, self.prior, self.objective, self.last_change, scale = state, people, prior, objective, r[1], 1.0
+                if r[1] < tolerance:
+                    return
+                aim, middle = np.array(total[1:]) / sum(total[1:]), np.array(r[2:])
+                base = (prior, common)
+            prior, common = base[0] + scale * (aim - base[0]), base[1] + scale * (middle - base[1])
+            place = self.state.select("key", *((F.col(t) + scale * F.col(s)).alias(t) for t, s in zip(_AT, _STEP)))
+        raise RuntimeError(f"the consensus did not settle in {rounds} rounds: last step {self.last_change}, tolerance {tolerance}")
+
+    def _people(self, place: DataFrame) -> _People | None:
+        return _People(place.select("key", *_AT).toPandas()) if self.small else None  # at most broadcast_annotators rows
+
+    def _rows(self, people: _People | None, place: DataFrame) -> DataFrame:
+        if people is not None:
             return self.tasks
-        x = self.people
-        params = self.votes.sparkSession.createDataFrame(_params(x), "key long, ability double, b0 double, b1 double, b2 double")
-        v = self.votes.join(params, "key").groupBy("task_id").agg(F.collect_list(F.struct("key", "label", "ability", "b0", "b1", "b2")).alias("v"))
-        return v.select("task_id", *(F.col(f"v.{c}").alias(d) for c, d in (("key", "keys"), ("label", "labels"), ("ability", "ability"), ("b0", "b0"), ("b1", "b1"), ("b2", "b2"))))
+        v = self.votes.join(place, "key").groupBy("task_id").agg(F.collect_list(F.struct("key", "label", *_AT)).alias("v"))
+        return v.select("task_id", *(F.col(f"v.{c}").alias(d) for c, d in (("key", "keys"), ("label", "labels"), *((c, c) for c in _AT))))
 
     def labels(self, least_votes: int = 1) -> DataFrame:
         """(task_id, votes, label, confidence, difficulty, p0, p1, p2) of the tasks with enough votes; of equal posteriors the smallest label."""
-        people, prior = (self.people if self.small else None), self.people.prior
-        out = self._rows().where(F.size("keys") >= least_votes).mapInArrow(lambda it: _posteriors(it, people, prior), "task_id string, votes long, difficulty double, p0 double, p1 double, p2 double")
+        people, prior = self.people, self.prior
+        out = self._rows(people, self.state.select("key", *_AT)).where(F.size("keys") >= least_votes).mapInArrow(lambda it: _posteriors(it, people, prior), "task_id string, votes long, difficulty double, p0 double, p1 double, p2 double")
         best = F.greatest("p0", "p1", "p2")
         return out.select("task_id", "votes", F.when(F.col("p0") >= best, 0).when(F.col("p1") >= best, 1).otherwise(2).cast("int").alias("label"), best.alias("confidence"), "difficulty", "p0", "p1", "p2")
 
     def annotators(self) -> DataFrame:
-        """(annotator, votes, ability, bias_0, bias_1, bias_2, reliability); reliability is the expected share of votes that match the true label."""
-        x = self.people
-        rows = _params(x)
-        rows["reliability"] = x.right / np.maximum(x.votes, 1)
-        params = self.votes.sparkSession.createDataFrame(rows, "key long, ability double, b0 double, b1 double, b2 double, reliability double")
+        """(annotator, votes, ability, bias_0, bias_1, bias_2, reliability); reliability is the expected share of votes that match the true label, biases have a mean of 0."""
         names = self.votes.groupBy("key", "annotator").agg(F.count("*").alias("votes"))
-        return names.join(params, "key").select("annotator", "votes", "ability", F.col("b0").alias("bias_0"), F.col("b1").alias("bias_1"), F.col("b2").alias("bias_2"), "reliability")
-
-
-def _params(x: Annotators):
-    import pandas as pd
-
-    return pd.DataFrame({"key": x.key, "ability": x.ability, "b0": x.bias[:, 0], "b1": x.bias[:, 1], "b2": x.bias[:, 2]})
+        mean = sum(F.col(c) for c in _AT[1:]) / LABELS
+        x = self.state.select("key", F.col("t0").alias("ability"), *((F.col(c) - mean).alias(f"bias_{k}") for k, c in enumerate(_AT[1:])), (F.col("right") / F.col("votes")).alias("reliability"))
+        return names.join(x, "key").select("annotator", "votes", "ability", "bias_0", "bias_1", "bias_2", "reliability")
 
 
 def agreement(votes: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """One ranking from pairwise comparisons: probit strengths by iteratively reweighted least squares.
 
 The first of two items wins with a probability of Phi(s_first - s_second + place), ``place`` being the advantage of
-standing first; a tie is half a win of each. Comparisons are summed to one row for each ordered pair. Every round
-forms weights and residuals of the rows under the current strengths and solves the ridge-regularised normal
-equations by conjugate gradients, in which the matrix, a weighted graph Laplacian, only ever meets a vector: a pass over
-the rows. Up to ``local_pairs`` rows are passed over on the driver, more on the executors; vectors hold one number
-an item.
+standing first; a tie is half a win of each. Comparisons are summed to one row for each ordered pair, a table that stays
+on the executors. Every round writes the weights and scores of its rows under the current strengths and solves the
+ridge-regularised normal equations by conjugate gradients, in which the matrix, a weighted graph Laplacian, only ever
+meets vectors: one pass over the rows and one aggregate a product, for all right-hand sides at once. Early rounds are
+solved roughly, the last ones exactly. Only vectors of one number an item (and a few more at a time for the errors) are on the driver.
+
+Standard errors are the diagonal of the inverse on strengths less their mean, by probing: right-hand sides of signs from the rows of a Hadamard
+matrix, whose columns go to the items in turn. Up to ``probes`` items the probes are orthogonal and the errors exact;
+with more items those that share a column get independent signs, and the same formula is an unbiased estimate.
 """
 
 from __future__ import annotations
@@ -13,165 +17,187 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_counts
 from ..scratch import materialize
 
-_COLUMNS = ("i", "j", "won", "lost")
+# Coefficients of a Chebyshev fit of the complementary error function (fractional error below 1.2e-7).
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
-def _erf(x: np.ndarray) -> np.ndarray:
-    from math import erf
-
-    return np.fromiter((erf(v) for v in x), float, len(x))
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    """Phi(x)."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.5 * z)
+    tail = 0.5 * t * np.exp(-z * z + np.polynomial.polynomial.polyval(t, _ERFC))
+    return np.where(x > 0, 1 - tail, tail)
 
 
 def probit_terms(margin: np.ndarray, won: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weight and score of each row (Fisher scoring)."""
     margin = np.clip(margin, -6, 6)
-    p = np.clip(0.5 * (1 + _erf(margin / np.sqrt(2))), 1e-9, 1 - 1e-9)
+    p = np.clip(normal_cdf(margin), 1e-9, 1 - 1e-9)
     dens = np.exp(-0.5 * margin**2) / np.sqrt(2 * np.pi)
     n = won + lost
     return n * dens**2 / (p * (1 - p)), (won - n * p) * dens / (p * (1 - p))
 
 
-def _product(i, j, w, v: np.ndarray) -> np.ndarray:
-    """Sum over rows of w x x' v, x having 1 at i, -1 at j and 1 at the last place (standing first)."""
-    d = w * (v[i] - v[j] + v[-1])
-    out = np.bincount(i, d, len(v)) - np.bincount(j, d, len(v))
-    out[-1] += d.sum()
+def _scatter(i: np.ndarray, j: np.ndarray, d: np.ndarray, size: int, sign: float = -1.0) -> np.ndarray:
+    """Add each row of ``d`` to item i, with a sign to item j, and to the last place (standing first). A column a vector."""
+    out = np.empty((size, d.shape[1]))
+    for c in range(d.shape[1]):
+        out[:, c] = np.bincount(i, d[:, c], size) + sign * np.bincount(j, d[:, c], size)
+    out[-1] += d.sum(axis=0)
     return out
 
 
-class _Local:
-    def __init__(self, rows: pd.DataFrame):
-        self.i, self.j, self.won, self.lost = (rows[c].to_numpy() for c in _COLUMNS)
-
-    def start(self, s: np.ndarray) -> np.ndarray:
-        """Fix the weights at ``s``; the gradient there, without the prior."""
-        self.w, u = probit_terms(s[self.i] - s[self.j] + s[-1], self.won, self.lost)
-        g = np.bincount(self.i, u, len(s)) - np.bincount(self.j, u, len(s))
-        g[-1] += u.sum()
-        return g
+def _partial(v: np.ndarray):
+    """A partial sum as rows (place, values), places without any left out."""
+    at = np.nonzero(v.any(axis=1))[0]
+    return pa.record_batch([pa.array(at), *(pa.array(v[at, c]) for c in range(v.shape[1]))], names=["at", *(f"v{c}" for c in range(v.shape[1]))])
 
-    def times(self, v: np.ndarray) -> np.ndarray:
-        return _product(self.i, self.j, self.w, v)
 
-    def diagonal(self, size: int) -> np.ndarray:
-        d = np.bincount(self.i, self.w, size) + np.bincount(self.j, self.w, size)
-        d[-1] += self.w.sum()
-        return d
+class Edges:
+    """The comparisons as a sparse matrix that stays on the executors."""
 
+    def __init__(self, rows: DataFrame, size: int):
+        self.rows, self.size, self.spark = rows, size, rows.sparkSession
 
-class _Spread:
-    """The same passes over rows that stay on the executors; partial vectors are summed before they reach the driver."""
+    def _sum(self, source: DataFrame, f, width: int) -> np.ndarray:
+        names = [f"v{c}" for c in range(width)]
+        got = source.mapInArrow(f, "at long, " + ", ".join(f"{c} double" for c in names)).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # a row an item
+        out = np.zeros((self.size, width))
+        out[got["at"].to_numpy(np.int64)] = got[names].to_numpy(np.float64)
+        return out
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def weigh(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Write the weights at ``s``; the gradient there and the diagonal, both without the prior."""
+        sent, size = self.spark.sparkContext.broadcast(s), self.size
 
-    def _sum(self, f, size: int) -> np.ndarray:
         def run(batches):
+            x = sent.value
             for b in batches:
-                v = f(*(b.column(c).to_numpy() for c in _COLUMNS))
-                at = np.nonzero(v)[0]
-                yield pa.record_batch([pa.array(at), pa.array(v[at])], names=["at", "v"])
+                i, j = b.column("i").to_numpy(), b.column("j").to_numpy()
+                w, u = probit_terms(x[i] - x[j] + x[-1], b.column("won").to_numpy(), b.column("lost").to_numpy())
+                yield pa.record_batch([b.column("i"), b.column("j"), pa.array(w), pa.array(u)], names=["i", "j", "w", "u"])
 
-        out = np.zeros(size)
-        r = self.rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-        out[r["at"].to_numpy(np.int64)] = r["v"].to_numpy()
-        return out
-
-    def start(self, s: np.ndarray) -> np.ndarray:
-        self.s = s
-
-        def f(i, j, won, lost):
-            x = _Local(pd.DataFrame({"i": i, "j": j, "won": won, "lost": lost}))
-            return x.start(s)
+        def both(batches):
+            for b in batches:
+                i, j, w, u = (b.column(c).to_numpy() for c in ("i", "j", "w", "u"))
+                yield _partial(np.concatenate([_scatter(i, j, u[:, None], size), _scatter(i, j, w[:, None], size, 1.0)], axis=1))
 
-        return self._sum(f, len(s))
+        self.weighted = materialize(self.rows.mapInArrow(run, "i long, j long, w double, u double"), "weights")
+        out = self._sum(self.weighted, both, 2)
+        return out[:, 0], out[:, 1]
 
     def times(self, v: np.ndarray) -> np.ndarray:
-        s = self.s
-        return self._sum(lambda i, j, won, lost: _product(i, j, probit_terms(s[i] - s[j] + s[-1], won, lost)[0], v), len(v))
+        """The matrix times the columns of ``v``: one pass."""
+        sent, size = self.spark.sparkContext.broadcast(v), self.size
 
-    def diagonal(self, size: int) -> np.ndarray:
-        s = self.s
+        def run(batches):
+            x = sent.value
+            for b in batches:
+                i, j, w = (b.column(c).to_numpy() for c in ("i", "j", "w"))
+                yield _partial(_scatter(i, j, w[:, None] * (x[i] - x[j] + x[-1]), size))
 
-        def f(i, j, won, lost):
-            x = _Local(pd.DataFrame({"i": i, "j": j, "won": won, "lost": lost}))
-            x.start(s)
-            return x.diagonal(size)
+        out = self._sum(self.weighted, run, v.shape[1])
+        sent.unpersist()
+        return out
 
-        return self._sum(f, size)
 
+def conjugate_gradients(times, b: np.ndarray, scale: np.ndarray, tolerance: float, most: int = 1000) -> np.ndarray:
+    """Solve a positive definite system for all columns of ``b`` at once, preconditioned by its diagonal.
 
-def conjugate_gradients(times, b: np.ndarray, scale: np.ndarray, tolerance: float = 1e-10, most: int = 500) -> np.ndarray:
-    """Solve a positive definite system, preconditioned by its diagonal."""
+    Each column stops when its residual has fallen to ``tolerance``; one that doesn't in ``most`` products raises an error.
+    """
+    scale = scale[:, None]
     x, r = np.zeros_like(b), b.copy()
     z = r / scale
-    p, rz = z.copy(), float(r @ z)
+    p, rz = z.copy(), (r * z).sum(axis=0)
+    goal = tolerance**2 * np.maximum(rz, 1e-300)
     for _ in range(most):
-        if rz <= tolerance * max(float(b @ (b / scale)), 1e-300):
-            break
-        ap = times(p)
-        a = rz / float(p @ ap)
-        x, r = x + a * p, r - a * ap
-        z = r / scale
-        rz, before = float(r @ z), rz
-        p = z + rz / before * p
-    return x
-
-
-def rank(comparisons: DataFrame, ridge: float = 0.01, rounds: int = 25, tolerance: float = 1e-8, local_pairs: int = 500_000, exact_errors: int = 2_000) -> DataFrame:
+        live = np.nonzero(rz > goal)[0]
+        if not len(live):
+            return x
+        q = times(p[:, live])
+        a = rz[live] / (p[:, live] * q).sum(axis=0)
+        x[:, live] += a * p[:, live]
+        r[:, live] -= a * q
+        z = r[:, live] / scale
+        after = (r[:, live] * z).sum(axis=0)
+        p[:, live] = z + after / rz[live] * p[:, live]
+        rz[live] = after
+    raise RuntimeError(f"conjugate gradients did not settle in {most} products")
+
+
+def probe_signs(items: int, probes: int, lo: int, hi: int, seed: int = 11) -> np.ndarray:
+    """Columns ``lo`` to ``hi`` of the probes: a row an item."""
+    k, p = np.arange(items), np.arange(lo, hi)
+    parity = np.array([bin(x).count("1") & 1 for x in range(probes)])
+    signs = 1.0 - 2 * parity[(k % probes)[:, None] & p[None, :]]
+    turn = np.stack([np.random.default_rng((seed, int(x))).integers(0, 2, items // probes + 1) for x in p], axis=1)
+    turn[0] = 0
+    return signs * (1.0 - 2 * turn[k // probes])
+
+
+def standard_errors(times, diagonal: np.ndarray, items: int, probes: int, memory: int = 4_000_000) -> np.ndarray:
+    """Errors of the strengths less their mean, see above; ``memory`` numbers are held at a time."""
+    probes = 1 << max(0, min(probes - 1, items - 1)).bit_length()
+    step = max(1, memory // (items + 1))
+    centred = lambda x: np.concatenate([x[:-1] - x[:-1].mean(axis=0), np.zeros_like(x[-1:])])
+    total = np.zeros(items)
+    for lo in range(0, probes, step):
+        signs = probe_signs(items, probes, lo, min(lo + step, probes))
+        v = centred(np.concatenate([signs, np.zeros((1, signs.shape[1]))]))
+        total += (signs * centred(conjugate_gradients(times, v, diagonal, 1e-8))[:-1]).sum(axis=1)
+    return np.sqrt(np.maximum(total / probes, 0.0))
+
+
+def rank(comparisons: DataFrame, ridge: float = 0.01, rounds: int = 50, tolerance: float = 1e-6, probes: int = 64) -> DataFrame:
     """(item, rank, strength, std_error, comparisons): all items of ``comparisons`` (first, second, outcome, n).
 
     ``outcome`` is 1, 0 or 0.5 for the first, the second or neither; ``n`` how often. Rows with nulls and comparisons
     of an item with itself are left out. Equal strengths rank by name. Strengths have a mean of 0; their standard
-    errors come from the inverse, one solution an item; beyond ``exact_errors`` items they come from the diagonal alone, a lower bound. An
-    empty input gives an empty result.
+    errors are exact up to ``probes`` items (a power of two) and estimated with as many probes beyond. An empty input gives an empty result; strengths
+    that don't settle in ``rounds`` raise an error.
     """
     spark = comparisons.sparkSession
     pairs = comparisons.where("first is not null and second is not null and first <> second and outcome is not null and n > 0").groupBy("first", "second").agg(
         F.sum(F.col("outcome") * F.col("n")).cast("double").alias("won"), F.sum((1 - F.col("outcome")) * F.col("n")).cast("double").alias("lost")
     )
     pairs = materialize(pairs, "pairs")
-    names = sorted(r[0] for r in pairs.select("first").union(pairs.select("second")).distinct().collect())  # one string an item
+    met = pairs.select(F.col("first").alias("item"), (F.col("won") + F.col("lost")).alias("n")).union(pairs.select("second", F.col("won") + F.col("lost"))).groupBy("item").agg(F.sum("n").alias("comparisons"))
+    index = materialize(running_counts(met.withColumn("one", F.lit(1)), [], "item", "one").select("item", (F.col("upto") - 1).cast("long").alias("k"), "comparisons"), "items")
+    items = index.count()
     schema = "item string, rank long, strength double, std_error double, comparisons double"
-    if not names:
+    if not items:
         return spark.createDataFrame([], schema)
-    index = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k long, name string")
-    a, b = index.select(F.col("name").alias("first"), F.col("k").alias("i")), index.select(F.col("name").alias("second"), F.col("k").alias("j"))
-    rows = pairs.join(a, "first").join(b, "second").select(*_COLUMNS)
-    if pairs.count() <= local_pairs:
-        edges: _Local | _Spread = _Local(rows.toPandas())
-    else:
-        edges = _Spread(materialize(rows, "edges"))
-    size = len(names) + 1
-    s, prior = np.zeros(size), np.full(size, ridge)
+    a, b = index.select(F.col("item").alias("first"), F.col("k").alias("i")), index.select(F.col("item").alias("second"), F.col("k").alias("j"))
+    edges = Edges(materialize(pairs.join(a, "first").join(b, "second").select("i", "j", "won", "lost"), "edges"), items + 1)
+    s, rough = np.zeros(items + 1), 0.1
+    times = lambda v: edges.times(v) + ridge * v
     for _ in range(rounds):
-        g = edges.start(s) - prior * s
-        step = conjugate_gradients(lambda v: edges.times(v) + prior * v, g, edges.diagonal(size) + prior)
-        s = s + step
-        if np.abs(step).max() < tolerance:
+        g, diagonal = edges.weigh(s)
+        diagonal = diagonal + ridge
+        step = conjugate_gradients(times, (g - ridge * s)[:, None], diagonal, rough)[:, 0]
+        change = float(np.abs(step).max())
+        if change < tolerance:
             break
-    edges.start(s)
-    diagonal = edges.diagonal(size) + prior
-    error = 1 / np.sqrt(diagonal)
-    if len(names) <= exact_errors:
-        for k in range(len(names)):
-            unit = np.append(np.full(size - 1, -1 / (size - 1)), 0.0)
-            unit[k] += 1.0
-            error[k] = np.sqrt(max(unit @ conjugate_gradients(lambda v: edges.times(v) + prior * v, unit, diagonal), 0.0))
-    met = rows.select(F.col("i").alias("k"), (F.col("won") + F.col("lost")).alias("n")).union(rows.select("j", F.col("won") + F.col("lost"))).groupBy("k").agg(F.sum("n").alias("n"))
+        s = s + np.clip(step, -2, 2)
+        rough = min(rough, max(1e-6, 0.1 * change))
+    else:
+        raise RuntimeError(f"the strengths did not settle in {rounds} rounds")
+    error = standard_errors(times, diagonal, items, probes)
     strength = s[:-1] - s[:-1].mean()
-    order = np.lexsort((np.arange(len(names)), -strength))
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(1, len(names) + 1)
-    table = spark.createDataFrame([(k, names[k], int(place[k]), float(strength[k]), float(error[k])) for k in range(len(names))], "k long, item string, rank long, strength double, std_error double")
-    return table.join(met, "k").select("item", "rank", "strength", "std_error", F.col("n").alias("comparisons"))
+    place = np.empty(items, np.int64)
+    place[np.lexsort((np.arange(items), -strength))] = np.arange(1, items + 1)
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"k": np.arange(items), "rank": place, "strength": strength, "std_error": error}), "k long, rank long, strength double, std_error double")
+    return index.join(table, "k").select("item", "rank", "strength", "std_error", "comparisons")
 
 
 def stronger(ranking: DataFrame, confidence: float | None = None) -> DataFrame:
