@@ -74,3 +74,14 @@ SLOT = (
 
 # Words near a slot that is only spoken of.
 SPOKEN_OF = r"(?i)\b(?:placeholders?|slots?|templates?|variables?|stands? for|called|named|syntax|formatter|escaped?|platzhalter|steht für|heißt|marcador(?:es)?|se llama|representa|espace réservé|s'appelle|signifie)\b"
+
+# Slots, two blanks between them, from whose shapes the slot model learns.
+SLOTS = """
+{{ name }}  {{name}}  {{customer_name}}  {{ user.first_name }}  {{ city }}  {{#if x}}  {{date}}  {{ 0 }}  {{TITLE}}  {{ OrderId }}
+${name}  ${ name }  ${user_name}  ${user.name}  ${VALUE}  ${0}  <%= name %>  <% name %>  <%= user.name %>
+[[name]]  [[ name ]]  [[Name]]  [[NAME]]  [[topic here]]  {name}  {first_name}  {topic}  {0}  {1}  {00}
+%NAME%  %FIRST_NAME%  %USER%  __NAME__  __FIRST_NAME__  __TITLE__  [NAME]  [YOUR NAME]  [FIRST_NAME]  [COMPANY]  [CITY]
+[insert name]  [Insert name here]  [your name]  [Your Name]  [Your Company Name]  [add text]  [enter date]  [INSERT NAME HERE]  [...insert]
+<insert name>  <INSERT_NAME>  <Insert name here>  <your name>  <YOUR_NAME>  <add text>  <enter_date>
+XX/XX/XX  XX/XX/XXXX  XXXX  XXXXX  XXXXXXXX  TODO: add  TODO: write  TODO: insert  TODO: fill  TBD TBD  TBD TBD TBD  %s  %d  (%s)  %s,  %d.
+"""

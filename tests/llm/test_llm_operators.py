@@ -428,6 +428,28 @@ def test_residue(spark):
     assert tr.template_residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_residue_is_the_same_across_seams():
+    r = np.random.default_rng(1)
+    ratios = np.concatenate([tr.log_ratios(tr.seed_counts()[:-1], tr.counts_of(PROSE)), tr.log_ratios(tr.seed_counts()[-1:], tr.counts_of(PROSE, True))])
+    error = "The requested page could not be found on this server."
+    texts = [" ".join([PROSE, error, "{{ name }}"] * 5).replace("\n", " "), error, None, "", "[NAME]", "x", error + "\n" + PROSE, " ".join(str(x) for x in r.integers(0, 99, 300)) + " " + error]
+    whole = tr.measure(texts, ratios)
+    assert whole["covered"].max() > 0 and whole["near"].any()
+    for size in (1, 30, 64, 500):
+        part = tr.measure(texts, ratios, size)
+        assert all((whole[k] == part[k]).all() for k in ("covered", "slots", "kind", "near"))
+        if size >= 200:  # what a heading is, is asked of whole lines
+            assert np.allclose(whole["share"], part["share"])
+
+
+def test_slot_windows_find_every_form():
+    natural = tr.counts_of(PROSE * 50, True)
+    ratios = np.concatenate([np.zeros((len(tr.KINDS), 1 << tr.BITS), np.float32) - 1, tr.log_ratios(tr.seed_counts()[-1:], natural)])
+    forms = ["{{ name }}", "${user}", "<%= x %>", "[[topic]]", "{city}", "%FIRST_NAME%", "__TITLE__", "[YOUR NAME]", "<insert name>", "XX/XX/XXXX", "TODO: write", "TBD TBD", "%s", "XXXX"]
+    got = tr.measure([f"The boat of {f} leaves in the morning." for f in forms] + [PROSE], ratios)
+    assert got["slots"].tolist() == [1] * len(forms) + [0]
+
+
 def test_queries_are_registered():
     from loomspan.llm import queries
 
