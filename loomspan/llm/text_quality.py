@@ -1,86 +1,122 @@
 """Per-document text statistics, and prose told from lists, tables and junk.
 
-A text up to ``chunk_chars`` is measured at once. A longer one is cut into chunks; every chunk yields counts that add
-up, and the state of its borders: the word and the line that it begins with and ends with may continue in its
-neighbours. Joining two states completes the word and the line between them, so joining is associative, and the
-chunks of a document are merged as a tree. Ratios and the kind follow from the merged counts.
+Every text is cut into chunks of ``chunk_chars``; a chunk yields counts that add up, and the state of its borders: the
+word and the line that it begins with and ends with may continue in its neighbours. Joining two states completes the
+word and the line between them, so joining is associative, and the chunks of a document are merged as a tree, for any size of
+chunk with the same result. A text of more than ``segment_chars`` goes to many tasks: its segments are spread over the
+executors, and their states meet ``fan_in`` at a time until one is left. Ratios and the kind follow from the merged counts.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import zlib
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .common_words import ANY
 from .words import WORD
 
 COMMON_LEAST = 0.18  # share of common words that prose of the known languages keeps
 LEAST = 60  # characters, without surrounding blanks, from which a text has a kind
+FEW = 15  # distinct words up to which they are kept
 _MARK = re.compile(r"(?:[-*•·–+▪]|\d{1,3}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s")
 _CLOSE = ".!?…。！？"
 _AFTER_CLOSE = "\"'”’»)]*_"
-_ENDER = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s")
+_QUOTES = "\"'”’»)]"
+_ENDER = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?=\s)")
+_PENDING = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 _DAMAGE = re.compile(r"[^\w\s.,;:!?'\"()\-–—‐‑…’‘“”„«»‹›¿¡/%&+=*#@<>\[\]{}|\\$€£°§^~`•·▪→´]")
-_MISPLACED = re.compile(r"[^\W\d_][.,;?!][^\W\d_]|[a-zà-ÿ][A-ZÀ-Þ]")  # within words
+_MISPLACED = re.compile(r"(?=[^\W\d_][.,;?!][^\W\d_]|[a-zà-ÿ][A-ZÀ-Þ])")  # within words
 _GAP = re.compile(r"(?<=\S)[  ]{3,}(?=\S)")
 _OTHER_SCRIPT = re.compile(r"[^\W\d_A-Za-zÀ-ɏ]")
 _DELIMS = ("\t", "|", ";", ",")
 _SUMS = ("chars", "space", "symbols", "damage", "misplaced", "words", "letters", "other_script", "length", "common", "digits", "mixed", "lines", "closed", "enders", "entries", "marked", "entry_words", "line_words")
 
 
-def _seam(pattern: re.Pattern, tail: str, head: str) -> int:
-    """Matches that neither piece has alone."""
-    return len(pattern.findall(tail + head)) - len(pattern.findall(tail)) - len(pattern.findall(head))
+def _after(state: int, text: str) -> int:
+    """How a line stands after ``text``: 0 within a sentence, 1 behind its closing signs, 2 behind white space after these."""
+    core = text.rstrip()
+    body = core.rstrip(_AFTER_CLOSE)
+    if body and not body[-1].isspace():
+        state = 1 if body[-1] in _CLOSE else 0
+        return 2 * (state and len(core) < len(text)) or state
+    # closing signs and white space only, or such behind white space
+    if body:
+        return _after_blank(_after(state, body), core[len(body) :], len(core) < len(text))
+    if not core:
+        return 2 if state and text else state
+    if state != 1:
+        return 0
+    return 2 if len(core) < len(text) else 1
+
+
+def _after_blank(state: int, signs: str, blank: bool) -> int:
+    """State after closing signs that follow white space: they close nothing."""
+    return 0 if signs else 2 if state and blank else state
+
+
+def _run(blanks: str) -> int:
+    """Length of white space that may be a gap; -1 if it holds other than blanks."""
+    return -1 if blanks.strip("  ") else len(blanks)
 
 
 class Line:
-    """A line or a piece of one."""
+    """A line or a piece of one: counts of what is complete in it, and its borders."""
 
-    __slots__ = ("first", "last", "words", "counts", "gaps", "enders", "part_words", "parts", "open_word", "shut_word", "head", "tail")
+    __slots__ = ("solid", "head", "tail", "first", "lead", "trail", "words", "counts", "gaps", "enders", "pending", "opens", "part_words", "parts", "ends")
 
     def __init__(self, text: str = ""):
         s = text.strip()
-        self.first = s[:8] + (" " if len(s) <= 8 and text[-1:].isspace() else "")
-        self.last = s[-4:]
+        self.solid = bool(s)
+        self.head, self.tail = text[:8], text[-2:]
+        before = len(text) - len(text.lstrip())
+        self.first = text[before : before + 8]
+        self.lead, self.trail = _run(text[:before]), _run(text[before + len(s) :])  # of white space alone, all leads
         self.words = len(s.split())
         self.counts = [text.count(x) for x in _DELIMS]
-        self.gaps = len(_GAP.findall(s)) if "   " in s else 0
+        self.gaps = len(_GAP.findall(s)) if "   " in s or " " in s else 0
         self.enders = len(_ENDER.findall(text))
+        self.pending = _PENDING.search(text) is not None  # a sentence ends here if white space follows
+        rest = text.lstrip(_QUOTES)
+        self.opens = int(rest[0].isspace()) if rest else 2  # white space behind closing signs at the start; 2: these only
         parts = [len(p.split()) for p in s.split(",")] if self.counts[3] else [self.words]
-        self.part_words = [parts[0], max(parts[1:-1], default=0), parts[-1]] if len(parts) > 1 else [parts[0], 0, parts[0]]
+        self.part_words = [parts[0], max(parts[1:-1], default=0), parts[-1]]
         self.parts = len(parts)
-        self.open_word, self.shut_word = not text[:1].isspace(), not text[-1:].isspace()
-        self.head, self.tail = text[:8], text[-8:]
+        self.ends = [_after(k, text) for k in range(3)]
 
     def join(self, other: Line) -> Line:
         """This piece continued by the other one."""
         if not self.head or not other.head:  # an empty piece
             return self if self.head else other
         out = Line()
-        cut = int(self.shut_word and other.open_word)  # a word cut in two counts once
-        out.first = (self.first + other.first)[:8] if self.first.strip() else other.first
-        if len(self.first) >= 8:
-            out.first = self.first
-        out.last = (self.last + other.last)[-4:] if other.last else self.last
+        out.solid = self.solid or other.solid
+        out.head = (self.head + other.head)[:8]
+        out.tail = (self.tail + other.tail)[-2:]
+        out.first = (self.first + other.head)[:8] if self.solid else other.first
+        add = lambda x, y: x + y if x >= 0 and y >= 0 else -1
+        between = add(self.trail if self.solid else self.lead, other.lead)
+        out.lead = self.lead if self.solid else between
+        out.trail = other.trail if other.solid else between if self.solid else 0
+        out.gaps = self.gaps + other.gaps + int(self.solid and other.solid and between >= 3)
+        a, b = self.tail[-1], other.head[0]
+        cut = int(not a.isspace() and not b.isspace())  # a word cut in two counts once
         out.words = self.words + other.words - cut
-        out.counts = [a + b for a, b in zip(self.counts, other.counts)]
-        out.gaps = self.gaps + other.gaps + _seam(_GAP, self.tail, other.head)
-        out.enders = self.enders + other.enders + _seam(_ENDER, self.tail, other.head)
-        out.head = (self.head + other.head)[:8] if len(self.head) < 8 else self.head
-        out.tail = (self.tail + other.tail)[-8:] if len(other.tail) < 8 else other.tail
-        seam = self.part_words[2] + other.part_words[0] - cut
+        out.counts = [x + y for x, y in zip(self.counts, other.counts)]
+        out.enders = self.enders + other.enders + int(self.pending and other.opens == 1)
+        out.pending = other.pending or (self.pending and other.opens == 2)
+        out.opens = other.opens if self.opens == 2 else self.opens
+        seam = self.part_words[2] + other.part_words[0] - (cut if a != "," and b != "," else 0)
         head = self.part_words[0] if self.parts > 1 else seam
         tail = other.part_words[2] if other.parts > 1 else seam
         middle = max(self.part_words[1], other.part_words[1], seam if self.parts > 1 and other.parts > 1 else 0)
         out.parts = self.parts + other.parts - 1
         out.part_words = [head, middle, tail]
-        out.open_word, out.shut_word = self.open_word, other.shut_word
+        out.ends = [other.ends[k] for k in self.ends]
         return out
 
     def dump(self) -> list:
@@ -96,57 +132,62 @@ class Line:
 
 class State:
     """Counts of a stretch of text and its borders. ``head`` and ``tail`` are the unfinished word and line at either
-    end; while there is no line end within, ``whole`` line is both, and while there is nothing but one word, so is the word."""
+    end; while there is no line end within, ``tail_line`` is both, and while there is nothing but one word, so is ``head_word``."""
 
     def __init__(self):
         self.n = dict.fromkeys(_SUMS, 0)
-        self.types: set = set()  # words, or their hashes below 1,024 once a state is written
+        self.types: set | None = set()  # distinct words, none once they are more than FEW
         self.cells = [{} for _ in range(5)]
         self.head_line: Line | None = None
         self.tail_line = Line()
         self.head_word, self.tail_word, self.one_word = "", "", False
 
-    def add_word(self, w: str) -> None:
-        if not w:
-            return
-        n = self.n
-        n["words"] += 1
-        n["length"] += len(w)
-        low = w.lower()
-        n["common"] += low in ANY
-        self.types.add(low)
-        if not w.isalpha():
-            n["digits" if w.isdigit() else "mixed"] += 1
+    def add_types(self, more) -> None:
+        if self.types is not None:
+            self.types = None if more is None else self.types | more
+            if self.types is not None and len(self.types) > FEW:
+                self.types = None
 
     def add_words(self, ws: list[str]) -> None:
+        """Whole lower-cased words."""
         n = self.n
         n["words"] += len(ws)
         n["length"] += sum(map(len, ws))
         n["common"] += sum(map(ANY.__contains__, ws))
-        self.types.update(ws)
+        if self.types is not None:
+            self.add_types(set(ws))
         for w in ws:
             if not w.isalpha():
                 n["digits" if w.isdigit() else "mixed"] += 1
 
-    def hashed(self) -> set:
-        return {w if isinstance(w, int) else zlib.crc32(w.encode("utf-8", "surrogatepass")) & 1023 for w in self.types}
-
     def add_line(self, x: Line) -> None:
-        if not x.last.strip():
+        if x.solid:
+            self._line(x.words, x.ends[0], x.enders, x.first, max(x.part_words), x.counts, x.gaps)
+
+    def add_text(self, text: str) -> None:
+        """A whole line."""
+        s = text.strip()
+        if not s:
             return
+        words = len(s.split())
+        counts = [text.count(x) for x in _DELIMS]
+        gaps = len(_GAP.findall(s)) if "   " in s or " " in s else 0
+        longest = max(len(p.split()) for p in s.split(",")) if counts[3] else words
+        self._line(words, _after(0, text), len(_ENDER.findall(text)), text.lstrip()[:8], longest, counts, gaps)
+
+    def _line(self, words: int, end: int, enders: int, first: str, longest: int, counts: list[int], gaps: int) -> None:
         n = self.n
+        closed = end > 0
         n["lines"] += 1
-        n["line_words"] += x.words
-        closed = (x.last.strip().rstrip(_AFTER_CLOSE) or "x")[-1] in _CLOSE
+        n["line_words"] += words
         n["closed"] += closed
-        n["enders"] += x.enders + closed
-        marked = bool(_MARK.match(x.first))
+        n["enders"] += enders + (end == 1)
+        marked = bool(_MARK.match(first))
         n["marked"] += marked
-        short = max(x.part_words) <= 6
-        if (marked and (not closed or x.words <= 6)) or (not closed and not x.enders and short):
+        if (marked and (not closed or words <= 6)) or (not closed and not enders and longest <= 6):
             n["entries"] += 1
-            n["entry_words"] += x.words
-        for cells, k in zip(self.cells, (*x.counts, x.gaps)):
+            n["entry_words"] += words
+        for cells, k in zip(self.cells, (*counts, gaps)):
             if k:
                 key = str(min(k, 40))
                 cells[key] = cells.get(key, 0) + 1
@@ -154,11 +195,13 @@ class State:
     def joined(self, other: State) -> State:
         out = State()
         out.n = {k: self.n[k] + other.n[k] for k in _SUMS}
-        out.types = self.hashed() | other.hashed()
+        out.types = self.types
+        out.add_types(other.types)
         out.cells = [{k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()} for a, b in zip(self.cells, other.cells)]
-        first = other.head_line if other.head_line is not None else other.tail_line
-        out.n["misplaced"] += _seam(_MISPLACED, self.tail_line.tail, first.head)
-        seam = self.tail_line.join(other.head_line if other.head_line is not None else other.tail_line)
+        begin = other.head_line if other.head_line is not None else other.tail_line
+        around = self.tail_line.tail, begin.head[:2]
+        out.n["misplaced"] += len(_MISPLACED.findall("".join(around))) - sum(len(_MISPLACED.findall(x)) for x in around)
+        seam = self.tail_line.join(begin)
         out.head_line, out.tail_line = self.head_line, other.tail_line
         if self.head_line is None:
             out.head_line = seam if other.head_line is not None else None
@@ -174,18 +217,19 @@ class State:
         elif other.one_word:
             out.head_word, out.tail_word = self.head_word, self.tail_word + other.head_word
         else:
-            out.add_word(self.tail_word + other.head_word)
+            if word := self.tail_word + other.head_word:
+                out.add_words([word])
             out.head_word, out.tail_word = self.head_word, other.tail_word
         return out
 
     def dump(self) -> str:
-        return json.dumps([self.n, sorted(self.hashed()), self.cells, self.head_line.dump() if self.head_line else None, self.tail_line.dump(), self.head_word, self.tail_word, self.one_word])
+        return json.dumps([self.n, None if self.types is None else sorted(self.types), self.cells, self.head_line.dump() if self.head_line else None, self.tail_line.dump(), self.head_word, self.tail_word, self.one_word])
 
     @classmethod
     def load(cls, x: str) -> State:
         out = cls()
-        n, types, out.cells, head, tail, out.head_word, out.tail_word, out.one_word = json.loads(x)
-        out.n, out.types = n, set(types)
+        out.n, types, out.cells, head, tail, out.head_word, out.tail_word, out.one_word = json.loads(x)
+        out.types = None if types is None else set(types)
         out.head_line, out.tail_line = Line.load(head) if head else None, Line.load(tail)
         return out
 
@@ -200,36 +244,47 @@ def measure(text: str) -> State:
         n["damage"] = len(_DAMAGE.findall(text))
         n["other_script"] = len(_OTHER_SCRIPT.findall(text))
     n["misplaced"] = len(_MISPLACED.findall(text))
-    plain, text = text, text.lower()
-    ws = WORD.findall(text)
+    low = text.lower()
+    if len(low) != len(text):  # a letter that becomes two
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    ws = WORD.findall(low)
     n["letters"] = sum(map(len, ws))
     n["symbols"] = len(text) - n["space"] - n["letters"]
-    if ws and len(ws) == 1 and len(ws[0]) == len(text):
-        out.one_word, out.head_word = True, text
+    if len(ws) == 1 and len(ws[0]) == len(text):
+        out.one_word, out.head_word = True, low
     else:
-        begin = bool(ws) and text.startswith(ws[0])
-        end = bool(ws) and text.endswith(ws[-1]) and (len(ws) > 1 or not begin)
+        begin = bool(ws) and low.startswith(ws[0])
+        end = bool(ws) and low.endswith(ws[-1]) and (len(ws) > 1 or not begin)
         out.head_word, out.tail_word = ws[0] if begin else "", ws[-1] if end else ""
-        inner = ws[int(begin) : len(ws) - int(end)]
-        out.add_words(inner)
-    lines = plain.split("\n")
+        out.add_words(ws[int(begin) : len(ws) - int(end)])
+    lines = text.split("\n")
     if len(lines) > 1:
         out.head_line, out.tail_line = Line(lines[0]), Line(lines[-1])
         for s in lines[1:-1]:
-            out.add_line(Line(s))
+            out.add_text(s)
     else:
-        out.tail_line = Line(plain)
+        out.tail_line = Line(text)
     return out
 
 
+def merge(states: list[State]) -> State:
+    """States of neighbouring stretches, merged as a tree."""
+    while len(states) > 1:
+        states = [a.joined(b) for a, b in zip(states[::2], states[1::2])] + (states[-1:] if len(states) % 2 else [])
+    return states[0]
+
+
+def measured(text: str, chunk: int) -> State:
+    return merge([measure(text[i : i + chunk]) for i in range(0, len(text) or 1, chunk)])
+
+
 def finish(state: State, trimmed: int) -> dict:
     """Statistics and kind from the state of a whole text; ``trimmed`` are its characters without surrounding blanks."""
     s = state
     for x in (s.head_line, s.tail_line):
         if x is not None:
             s.add_line(x)
-    s.add_word(s.head_word)
-    s.add_word(s.tail_word)
+    s.add_words([w for w in (s.head_word, s.tail_word) if w])
     n, solid = s.n, max(s.n["chars"] - s.n["space"], 1)
     words, lines = n["words"], n["lines"]
     stats = {
@@ -253,12 +308,12 @@ def _is_table(s: State) -> bool:
 
 def _kind(s: State, stats: dict, solid: int) -> str:
     n = s.n
-    words, lines, types = n["words"], n["lines"], len(s.hashed()) if len(s.types) <= 40 else len(s.types)
+    words, lines, types = n["words"], n["lines"], FEW + 1 if s.types is None else len(s.types)
     if not words or n["damage"] > 0.05 * solid:
         return "junk"
     if _is_table(s):
         return "table"
-    if stats["symbol_ratio"] > 0.4 or stats["mean_word_length"] > 16 or (words >= 30 and types <= 15 and words >= 3 * types):
+    if stats["symbol_ratio"] > 0.4 or stats["mean_word_length"] > 16 or (words >= 30 and types <= FEW and words >= 3 * types):
         return "junk"
     if n["digits"] + n["mixed"] > 0.5 * words:
         return "junk"
@@ -273,33 +328,45 @@ def _kind(s: State, stats: dict, solid: int) -> str:
     return "prose"
 
 
-_SCHEMA = "words long, mean_word_length double, symbol_ratio double, closing_share double, common_share double, kind string"
 _NAMES = ("words", "mean_word_length", "symbol_ratio", "closing_share", "common_share", "kind")
+_SCHEMA = "words long, mean_word_length double, symbol_ratio double, closing_share double, common_share double, kind string"
 _TYPES = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+_PART = "doc string, trimmed long, part long, parts long"
 
 
-def _whole(batches):
-    for b in batches:
-        rows = [finish(measure(t), len(t.strip())) for t in (x or "" for x in b.column(1).to_pylist())]
-        yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in zip(_NAMES, _TYPES))], names=["id", *_NAMES])
+def _first_pass(batches, chunk: int, segment: int):
+    """Statistics of each text, or its segments where it is longer than one."""
+    from pyspark import TaskContext
 
+    task, number = TaskContext.get().partitionId(), 0
+    names = ["id", *_NAMES, "doc", "trimmed", "part", "parts", "text"]
+    types = [*_TYPES, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
-def _parts(batches):
-    for b in batches:
-        yield pa.record_batch([*b.columns[:4], pa.array([measure(t).dump() for t in b.column(4).to_pylist()], pa.string())], names=["id", "doc", "trimmed", "part", "state"])
+    def batch(rows):
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(types))], names=names)
 
-
-def _merge(pdf: pd.DataFrame) -> tuple[State, int]:
-    """State of the parts in order; a row delivered several times has each part as often."""
-    copies = int(pdf["part"].value_counts().iloc[0])
-    states = [State.load(x) for x in pdf.drop_duplicates("part").sort_values("part")["state"]]
-    out = states[0]
-    for x in states[1:]:
-        out = out.joined(x)
-    return out, copies
+    for b in batches:
+        rows = []
+        for key, t in zip(b.column(0).to_pylist(), (x or "" for x in b.column(1).to_pylist())):
+            trimmed = len(t.strip())
+            if len(t) <= segment:
+                r = finish(measured(t, chunk), trimmed)
+                rows.append((key, *(r[k] for k in _NAMES), None, None, None, None, None))
+                continue
+            doc, number = f"{task}-{number}", number + 1  # this row, also if others are equal
+            parts = -(-len(t) // segment)
+            for i in range(parts):
+                yield batch([(key, *([None] * len(_NAMES)), doc, trimmed, i, parts, t[i * segment : (i + 1) * segment])])
+        if rows:
+            yield batch(rows)
+
+
+def _states(batches, chunk: int):
+    for b in batches:
+        yield pa.record_batch([*(b.column(c) for c in ("id", "doc", "trimmed", "part", "parts")), pa.array([measured(t, chunk).dump() for t in b.column("text").to_pylist()], pa.string())], names=["id", "doc", "trimmed", "part", "parts", "state"])
 
 
-def text_quality(records: DataFrame, chunk_chars: int = 200_000, fan_in: int = 32) -> DataFrame:
+def text_quality(records: DataFrame, chunk_chars: int = 512, segment_chars: int = 1 << 20, fan_in: int = 32) -> DataFrame:
     """(id, words, mean_word_length, symbol_ratio, closing_share, common_share, kind): one row a row of ``records``.
 
     ``records`` has ``id`` and ``text``; other columns are ignored. A null or empty text has no words, ratios of 0 and
@@ -307,20 +374,26 @@ def text_quality(records: DataFrame, chunk_chars: int = 200_000, fan_in: int = 3
     an empty input gives an empty result.
     """
     src = records.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    small = src.where(size <= chunk_chars).mapInArrow(_whole, f"id long, {_SCHEMA}")
-    big = src.where(size > chunk_chars).select("id", F.xxhash64("id", "text").alias("doc"), F.length(F.regexp_replace("text", r"^\s+|\s+$", "")).cast("long").alias("trimmed"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")), lambda i: F.substring("text", i * chunk_chars + 1, F.lit(chunk_chars)))).alias("part", "text"))
-    states = big.mapInArrow(_parts, "id long, doc long, trimmed long, part int, state string")
-
-    def inner(pdf):
-        s, copies = _merge(pdf)
+    seen = materialize(src.mapInArrow(lambda it: _first_pass(it, chunk_chars, segment_chars), f"id long, {_SCHEMA}, {_PART}, text string"), "text-states")
+    done = seen.where("doc is null").select("id", *_NAMES)
+    most = seen.agg(F.max("parts")).first()[0]
+    if most is None:
+        return done
+    keys = f"id long, {_PART}, state string"
+    states = seen.where("doc is not null").select("id", "doc", "trimmed", "part", "parts", "text").repartition("doc", "part").mapInArrow(lambda it: _states(it, chunk_chars), keys)
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
         r = pdf.iloc[0]
-        return pd.DataFrame([[r["id"], r["doc"], r["trimmed"], r["part"] // fan_in, s.dump()]] * copies, columns=["id", "doc", "trimmed", "part", "state"])
+        return pd.DataFrame([[r["id"], r["doc"], r["trimmed"], r["part"] // fan_in, r["parts"], merge([State.load(x) for x in pdf["state"]]).dump()]], columns=["id", "doc", "trimmed", "part", "parts", "state"])
+
+    while most > 1:
+        states = states.groupBy("doc", F.floor(F.col("part") / fan_in).alias("group")).applyInPandas(lambda _, pdf: level(pdf), keys)
+        most = -(-most // fan_in)
 
-    def outer(pdf):
-        s, copies = _merge(pdf)
-        r = finish(s, int(pdf["trimmed"].iloc[0]))
-        return pd.DataFrame([[pdf["id"].iloc[0], *(r[k] for k in _NAMES)]] * copies, columns=["id", *_NAMES])
+    def last(batches):
+        for b in batches:
+            rows = [finish(State.load(x), t) for x, t in zip(b.column("state").to_pylist(), b.column("trimmed").to_pylist())]
+            yield pa.record_batch([b.column("id"), *(pa.array([r[k] for r in rows], t) for k, t in zip(_NAMES, _TYPES))], names=["id", *_NAMES])
 
-    level = states.groupBy("doc", F.floor(F.col("part") / fan_in).alias("g")).applyInPandas(lambda pdf: inner(pdf.drop(columns="g", errors="ignore")), "id long, doc long, trimmed long, part int, state string")
-    return small.unionByName(level.groupBy("doc").applyInPandas(outer, f"id long, {_SCHEMA}"))
+    return done.unionByName(states.mapInArrow(last, f"id long, {_SCHEMA}"))

@@ -247,8 +247,21 @@ def test_chunks_give_the_same_statistics(spark):
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(0, texts[0], 1)], "id long, text string, kind int")
     row = lambda r: (r.words, round(r.mean_word_length, 9), round(r.symbol_ratio, 9), round(r.closing_share, 9), round(r.common_share, 9), r.kind)
     a = sorted((r.id, row(r)) for r in tq.text_quality(df).collect())
-    b = sorted((r.id, row(r)) for r in tq.text_quality(df, chunk_chars=101, fan_in=3).collect())
-    assert a == b and len(b) == 7
+    for chunk, segment, fan_in in ((101, 1 << 20, 32), (17, 101, 3), (64, 64, 2)):
+        b = sorted((r.id, row(r)) for r in tq.text_quality(df, chunk, segment, fan_in).collect())
+        assert a == b and len(b) == 7
+
+
+def test_states_join_to_the_same_anywhere():
+    r = random.Random(1)
+
+    def full(t, chunk):
+        s = tq.measured(t, chunk)
+        return tq.finish(s, len(t.strip())), s.n, s.cells, s.types
+
+    for _ in range(3000):
+        t = "".join(r.choice("ab .,!?)\"'\n\t    -1A*|;é") for _ in range(r.randint(0, 40)))
+        assert full(t, r.choice((1, 2, 3, 5, 11))) == full(t, 1 << 20), t
 
 
 def test_quality_of_odd_rows(spark):
