@@ -1,9 +1,10 @@
 """Broken prompt and response pairs: empty, truncated, refusing, copying and foreign answers.
 
-Answers are sorted by text, so that every text that begins with a given one follows it: an answer whose successor goes
-on where it stops is a shortened version. Answer lengths are counted, and a length at which unusually many answers
-stop without an end is a limit. Both decide the answers whose ending alone leaves it open. Rules find the empty
-ones, copies of the prompt, refusals and other languages.
+All answers are sorted by text, backwards, so that a text comes right after the ones that begin with it: an answer whose
+neighbour goes on where it stops is a shortened version. Answer lengths are counted, and a length at which unusually many
+answers stop without an end is a limit. Where no longer version was delivered and no limit shows, neither says anything; then the
+ending itself decides whether an answer stops within a sentence. Every truncated answer names its evidence (``neighbour``, ``limit``,
+``ending``). Rules find the empty ones, copies of the prompt, refusals and other languages.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -58,6 +59,7 @@ COURTESIES = re.compile(
     re.I,
 )
 
+_EDGES = re.compile(r"\A[\W_]+|[\W_]+\Z")
 _INVISIBLE = re.compile("[​-‏⁠﻿­‪-‮]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
 _CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]*_~`]*$")
@@ -78,7 +80,7 @@ def is_empty(t: str) -> bool:
         return True
     if not any(c.isalnum() for c in t):
         return all(ord(c) < 0x2190 for c in t)  # pictures say something, points and strokes don't
-    return len(t) <= 40 and re.sub(r"^[\W_]+|[\W_]+$", "", t.lower()) in STAND_INS
+    return _EDGES.sub("", t).lower() in STAND_INS
 
 
 def language(ws: list[str]) -> str | None:
@@ -110,7 +112,7 @@ _HINTS = frozenset("cannot cant wont couldnt impossible imposible unmöglich mö
 
 def is_refusal(t: str, ws: list[str]) -> bool:
     """It declines, and apart from courtesies says nothing else."""
-    if len(ws) > 80 or _HINTS.isdisjoint(ws):
+    if _HINTS.isdisjoint(ws):
         return False
     t = t.replace("’", "'")
     found, rest = False, 0
@@ -129,16 +131,16 @@ def is_refusal(t: str, ws: list[str]) -> bool:
 
 
 def ending(t: str) -> str:
-    """``closed``; ``open``, stopped within a sentence; or ``unsure``."""
+    """``closed``, also where it is very short; ``open``, stopped within a sentence; or ``unsure``."""
     t = _EDITED.sub("", t).rstrip()
     if not t or _CLOSED.search(t):
         return "closed"
     last = t.rsplit("\n", 1)[-1]
-    if t.endswith("```") or t.count("```") % 2:
+    if "```" in t and (t.endswith("```") or t.count("```") % 2):
         return "closed" if t.endswith("```") else "unsure"
     words = len(t.split())
     if words <= 3:
-        return "unsure"
+        return "closed"
     if _LIST_LINE.match(last) or _CODE_LINE.search(last) and "\n" in t:
         return "unsure"
     if _VALUE.search(last) or _VALUE.search(" ".join(last.split()[-3:])):
@@ -190,8 +192,7 @@ def classify(prompt: Prompt, answer: str | None) -> tuple[str | None, str]:
         lp = prompt.language()
         if lp is not None and lp != la and not asked_for(prompt.text, la):
             return OTHER, "closed"
-    end = ending(a)
-    return (TRUNCATED if end == "open" else None), end
+    return None, ending(a)
 
 
 _ROWS = "pair_id long, side string, defect string, ending string, n long, h long"
@@ -216,74 +217,88 @@ def _hash(a: str | None) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest((a or "").encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def _keys(batches):
-    """(key, h) of the answers that could be a shortened version or the longer one of some."""
+def _keys(batches, most: int = 500_000):
+    """(key, h) of all answers, each once a task: copies are pre-aggregated before the shuffle."""
+    seen: set = set()
     for b in batches:
-        seen = set()
+        keys, hashes = [], []
         for k in (0, 1):
             for a in b.column(k).to_pylist():
-                t = sort_key(clean(a))
-                if len(t) >= 12:
-                    seen.add((t, _hash(a)))
-        if seen:
-            keys, h = zip(*seen)
-            yield pa.record_batch([pa.array(keys), pa.array(h, pa.int64())], names=["key", "h"])
+                h = _hash(a)
+                if a and h not in seen:
+                    seen.add(h)
+                    if t := sort_key(clean(a)):
+                        keys.append(t)
+                        hashes.append(h)
+        if len(seen) > most:
+            seen.clear()
+        if keys:
+            yield pa.record_batch([pa.array(keys), pa.array(hashes, pa.int64())], names=["key", "h"])
 
 
-def _neighbours(batches):
-    """Of a sorted partition the hashes of texts that their successor continues, and the texts at its ends."""
-    from pyspark import TaskContext
+_SEEN = "h long, part int, first string, last string"
+
 
-    part, first, last, open_h = TaskContext.get().partitionId(), None, None, []
+def _neighbours(batches):
+    """Of a partition sorted backwards the hashes of texts that the text before continues.
 
-    def out(h, edge=None):
-        n = len(h) + (edge is not None)
-        return pa.record_batch(
-            [pa.array([*h, *([None] * (n - len(h)))], pa.int64()), pa.array([None] * len(h) + [part] * (n - len(h)), pa.int32()), pa.array([None] * len(h) + [edge[0]] * (n - len(h)) if edge else [None] * n, pa.string()), pa.array([None] * len(h) + [edge[1]] * (n - len(h)) if edge else [None] * n, pa.string()), pa.array([None] * len(h) + [edge[2]] * (n - len(h)) if edge else [None] * n, pa.list_(pa.int64()))],
-            names=["h", "part", "first", "last", "last_h"],
-        )
+    Rows of the first text, which only the partition before can continue, leave with the number of the partition; one row
+    more holds its first and last text. Nothing is kept but these two.
+    """
+    from pyspark import TaskContext
 
+    part, first, before, key, hit = TaskContext.get().partitionId(), None, None, None, False
     for b in batches:
-        hits = []
-        for key, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if first is None:
-                first = key
-            if key == last:
-                open_h.append(h)
-                continue
-            if last is not None and key.startswith(last):
-                hits.extend(open_h)
-            last, open_h = key, [h]
-        if hits:
-            yield out(hits)
-    if last is not None:
-        yield out([], (first, last, open_h[:10_000]))
+        sure, edge = [], []
+        for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if t != key:
+                before, key = key, t
+                first = t if first is None else first
+                hit = before is not None and before.startswith(t)
+            if hit:
+                sure.append(h)
+            elif key == first:
+                edge.append(h)
+        if sure or edge:
+            yield pa.record_batch([pa.array([*sure, *edge], pa.int64()), pa.array([None] * len(sure) + [part] * len(edge), pa.int32()), pa.nulls(len(sure) + len(edge), pa.string()), pa.nulls(len(sure) + len(edge), pa.string())], names=["h", "part", "first", "last"])
+    if first is not None:
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([first]), pa.array([key])], names=["h", "part", "first", "last"])
 
 
 def shortened(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
     """(h): hashes of answers which another answer continues."""
-    n = partitions or max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = pairs.select("chosen", "rejected").mapInArrow(_keys, "key string, h long").groupBy("h").agg(F.first("key").alias("key")).select("key", "h")
-    seen = materialize(keys.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_neighbours, "h long, part int, first string, last string, last_h array<long>"), "neighbours")
-    edges = seen.where("part is not null").withColumn("next", F.lead("first").over(Window.orderBy("part")))  # one row a partition
-    crossing = edges.where(F.col("next").startswith(F.col("last")) & (F.col("next") != F.col("last"))).select(F.explode("last_h").alias("h"))
-    return seen.where("h is not null").select("h").union(crossing).distinct()
+    spark = pairs.sparkSession
+    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = materialize(pairs.select("chosen", "rejected").mapInArrow(_keys, "key string, h long"), "keys")
+    seen = materialize(keys.repartitionByRange(n, F.desc("key")).sortWithinPartitions(F.desc("key")).mapInArrow(_neighbours, _SEEN), "neighbours")
+    ends = seen.where("h is null")
+    parts = sorted(r[0] for r in ends.select("part").collect())  # a number a partition
+    follows = spark.createDataFrame(list(zip(parts, parts[1:])), "part int, next int")
+    last = ends.join(follows, "part").select(F.col("next").alias("part"), F.col("last").alias("before"))
+    crossing = ends.join(last, "part").where(F.col("before").startswith(F.col("first")) & (F.col("before") != F.col("first"))).select("part")
+    return seen.where("h is not null and part is null").select("h").union(seen.where("h is not null and part is not null").join(crossing, "part", "left_semi").select("h")).distinct()
+
+
+def length_limits(rows: DataFrame, spike: float = 8.0, least: int = 20) -> DataFrame:
+    """(n): lengths at which at least ``least`` answers stop without a sure end, and ``spike`` times as many as at those around."""
+    lengths = rows.where("ending <> 'closed'").groupBy("n").agg(F.count("*").alias("c"))
+    near = lengths.select(F.explode(F.array(*(F.col("n") + k for k in (-3, -2, -1, 1, 2, 3)))).alias("n"), "c").groupBy("n").agg((F.sum("c") / 6).alias("around"))
+    return lengths.join(near, "n", "left").where((F.col("c") >= least) & (F.col("c") >= spike * F.greatest(F.coalesce("around", F.lit(0.0)), F.lit(1.0)))).select("n")
 
 
 def broken_pairs(pairs: DataFrame, spike: float = 8.0, least_spike: int = 20) -> DataFrame:
-    """(pair_id, side, defect): the defective answers of ``pairs`` (pair_id, prompt, chosen, rejected), one defect each.
+    """(pair_id, side, defect, evidence): the defective answers of ``pairs`` (pair_id, prompt, chosen, rejected), one defect each.
 
     A null or blank answer is ``empty``, whatever the prompt. With a null or blank prompt an answer is neither copy nor in
     another language. Repeated rows are reported as often as they come; other columns are ignored; an empty
-    input gives an empty result. A length is a limit where at least ``least_spike`` answers stop unsurely or openly, and
-    ``spike`` times as many as at its neighbouring lengths.
+    input gives an empty result. A truncated answer is one that ends without a sure end and has a longer neighbour
+    (evidence ``neighbour``) or the length of a limit (``limit``), see ``length_limits``, or whose ending stops within a sentence (``ending``).
+    Other defects have no evidence beside their rule.
     """
     src = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), *(F.col(c).cast("string").alias(c) for c in ("prompt", "chosen", "rejected")))
     rows = materialize(src.mapInArrow(_classify, _ROWS), "answers")
-    sure = rows.where("defect is not null").select("pair_id", "side", "defect")
-    unsure = rows.where("defect is null and ending = 'unsure' and n >= 40")
-    lengths = rows.where("ending <> 'closed' and n >= 100").groupBy("n").agg(F.count("*").alias("c"))
-    near = lengths.select(F.explode(F.array(*(F.col("n") + k for k in (-3, -2, -1, 1, 2, 3)))).alias("n"), "c").groupBy("n").agg((F.sum("c") / 6).alias("around"))
-    limits = lengths.join(near, "n", "left").where((F.col("c") >= least_spike) & (F.col("c") >= spike * F.greatest(F.coalesce("around", F.lit(0.0)), F.lit(1.0)))).select("n")
-    cut = unsure.join(shortened(src), "h", "left_semi").select("pair_id", "side").union(unsure.join(limits, "n", "left_semi").select("pair_id", "side"))
-    return sure.union(cut.distinct().select("pair_id", "side", F.lit(TRUNCATED)))
+    other = rows.where("defect is not null").select("pair_id", "side", "defect", F.lit(None).cast("string").alias("evidence"))
+    loose = rows.where("defect is null and ending <> 'closed'")
+    x = loose.join(shortened(src).withColumn("longer", F.lit(True)), "h", "left").join(length_limits(rows, spike, least_spike).withColumn("limit", F.lit(True)), "n", "left")
+    evidence = F.when(F.col("longer"), "neighbour").when(F.col("limit"), "limit").when(F.col("ending") == "open", "ending")
+    return other.union(x.withColumn("evidence", evidence).where("evidence is not null").select("pair_id", "side", F.lit(TRUNCATED), "evidence"))

@@ -78,7 +78,7 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return broken_pairs(_read(spark, d, "preference_pairs"))
+    return broken_pairs(_read(spark, d, "preference_pairs")).select("pair_id", "side", "defect")
 
 
 def _ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -340,7 +340,7 @@ def test_passages_of_common_words_are_scored():
 
 def test_defects():
     p = bp.Prompt("Explain why the river is higher in the spring than in the rest of the year.")
-    d = lambda a: bp.classify(p, a)[0]
+    d = lambda a: (lambda x: "truncated" if x == (None, "open") else x[0])(bp.classify(p, a))
     for e in (None, "", "  ", "​", "...", "N/A", "<empty>", "[no response]", '""'):
         assert d(e) == "empty"
     assert d("I'm sorry, but I can't help with that. Thank you for understanding.") == "refusal"
@@ -358,13 +358,26 @@ def test_shortened_versions_and_odd_rows(spark):
     whole = "The snow melts and fills the lake\n1. in the north of the country, near the sea\n2. in the south"
     rows = [(1, "p", whole, whole[:70]), (2, None, "Yes.", None), (3, "p", "x = 5", "Yes."), (3, "p", "x = 5", "Yes.")]
     got = {tuple(r) for r in bp.broken_pairs(spark.createDataFrame(rows, "pair_id long, prompt string, chosen string, rejected string")).collect()}
-    assert got == {(1, "rejected", "truncated"), (2, "rejected", "empty")}
-    for n in (2, 7):
+    assert got == {(1, "rejected", "truncated", "neighbour"), (2, "rejected", "empty", None)}
+    for n in (2, 7, 30):
         h = bp.shortened(spark.createDataFrame([(f"prefix number {k:03d}" + " tail" * (k % 3), f"prefix number {k:03d}") for k in range(60)], "chosen string, rejected string"), n)
         assert h.count() == 40
+    r = random.Random(6)
+    texts = [" ".join(r.choice(("a", "b")) for _ in range(r.randint(1, 6))) for _ in range(150)]
+    want = {t for t in texts if any(u.startswith(t) and u != t for u in texts)}
+    h = bp.shortened(spark.createDataFrame([(t, t.upper()) for t in texts], "chosen string, rejected string"), 5)
+    assert {x.h for x in h.collect()} == {bp._hash(u) for t in want for u in (t, t.upper())}
     assert bp.broken_pairs(spark.createDataFrame([], "pair_id long, prompt string, chosen string, rejected string")).count() == 0
 
 
+def test_length_limits(spark):
+    r = random.Random(7)
+    cut = lambda n: " ".join(["The"] + [r.choice(VOCAB) for _ in range(60)])[:n].strip().ljust(n, "x")
+    rows = [(k, "p", "Yes.", "\n".join(["Entries", cut(200), "- " + cut(90)])) for k in range(40)] + [(100 + k, "p", "Yes.", "\n".join(["Entries", cut(120 + k), "- one more"])) for k in range(60)]
+    got = bp.broken_pairs(spark.createDataFrame(rows, "pair_id long, prompt string, chosen string, rejected string")).collect()
+    assert {(x.pair_id, x.evidence) for x in got} == {(k, "limit") for k in range(40)}
+
+
 # 7
 
 
