@@ -16,6 +16,7 @@ every character counts in one piece only: the cut changes nothing.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,8 @@ def seed_counts() -> np.ndarray:
                 out[i] += counts_of(s)
     for line in seeds.SLOTS.strip().splitlines():
         for s in line.split("  "):
-            out[-1] += counts_of(s, True)
+            for before, after in product(("", "a ", "("), ("", ",", ".", ":", "!", " a", ")")):  # what may stand around a slot
+                out[-1] += counts_of(before + s + after, True)
     return out
 
 
