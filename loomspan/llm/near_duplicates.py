@@ -8,8 +8,9 @@ entries of the block, so one XOR compares 64 pairs at once; full adders (carry-s
 counters, and words of which all pairs exceed the radius are abandoned after each group of planes. Pairs within the
 radius are verified exactly on their texts.
 
-A block larger than ``most`` entries is cut into chunks which are joined with one another, so that no task holds
-more than two chunks. A pair of similarity 0.5 is missed with a probability of (1 - 0.5**rows)**bands, 1.4 % with the
+A block larger than ``most`` entries is cut into chunks of up to ``SIDE`` times as many. Every chunk is sent to the tiles
+(pairs of chunks of its block) that it is part of, each of them a group of its own, so that a hot block is spread over all tasks and
+none holds more than two chunks. A pair of similarity 0.5 is missed with a probability of (1 - 0.5**rows)**bands, 1.4 % with the
 defaults, one of 0.6 with 0.04 %.
 """
 
@@ -17,13 +18,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_counts
 from ..scratch import materialize
 from .words import WordHashes, hash_words, mix, ngram_hashes, words
 
 PLANES = 128
+SIDE = 8
+_SALTS = 16
 SEED = 20240607
 
 
@@ -176,10 +180,23 @@ def compare_runs(key: np.ndarray, cls: np.ndarray, s: np.ndarray, radius: int) -
     key, cls, s = key[keep], cls[keep], s[keep]
     if not len(key):
         return out
+    size = size[size > 1]
+    of = np.repeat(size, size)
+    lo = 1
+    while lo < size.max():  # runs of similar size together: as many passes as their longest has entries
+        part = (of > lo) & (of <= 2 * lo)
+        lo *= 2
+        if part.any():
+            out.extend(_compare_shifted(key[part], cls[part], s[part], lo, radius))
+    return out
+
+
+def _compare_shifted(key: np.ndarray, cls: np.ndarray, s: np.ndarray, longest: int, radius: int):
+    """Entry i against entry i + d, for all i at once."""
     planes = _planes(s)
     width = planes.shape[1]
     padded = np.concatenate([planes, np.zeros((PLANES, 2), np.uint64)], axis=1)
-    for d in range(1, int(size.max())):  # entry i against entry i + d, for all i at once
+    for d in range(1, min(longest, len(key))):
         same = np.zeros(width * 64, np.uint8)
         same[: len(key) - d] = (key[d:] == key[:-d]) & (cls[d:] != cls[:-d])
         valid = np.packbits(same, bitorder="little").view(np.uint64)
@@ -193,8 +210,7 @@ def compare_runs(key: np.ndarray, cls: np.ndarray, s: np.ndarray, radius: int) -
 
         i = _bits(*within_radius(xor, valid, radius))
         if len(i):
-            out.append((cls[i], cls[i + d]))
-    return out
+            yield cls[i], cls[i + d]
 
 
 def compare_chunks(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], radius: int, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -239,7 +255,7 @@ def _unpack(x: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(batches, radius: int, most: int):
     """Compare the runs of a stream sorted by key; longer runs than ``most`` leave as chunks."""
-    left, hot, chunk = None, None, 0
+    left, hot, chunk, side = None, None, 0, SIDE * most
 
     def done(key, cls, s, last):
         """Complete runs; of a run that began as chunks the rest is a chunk too."""
@@ -256,8 +272,8 @@ def _blocks(batches, radius: int, most: int):
             begin = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
             size = np.diff(np.append(begin, len(key)))
             for i in np.nonzero(size > most)[0]:
-                for c, lo in enumerate(range(begin[i], begin[i] + size[i], most)):
-                    hi = min(lo + most, begin[i] + size[i])
+                for c, lo in enumerate(range(begin[i], begin[i] + size[i], side)):
+                    hi = min(lo + side, begin[i] + size[i])
                     yield _chunk_batch(int(key[begin[i]]), c, cls[lo:hi], s[lo:hi])
             small = np.repeat(size <= most, size)
             if pairs := compare_runs(key[small], cls[small], s[small], radius):
@@ -273,20 +289,28 @@ def _blocks(batches, radius: int, most: int):
         cut = int(np.searchsorted(key, key[-1], "left"))
         yield from done(key[:cut], cls[:cut], s[:cut], False)
         key, cls, s = key[cut:], cls[cut:], s[cut:]
-        while len(key) > most:
+        while len(key) > side:
             if hot != key[0]:
                 hot, chunk = int(key[0]), 0
-            yield _chunk_batch(hot, chunk, cls[:most], s[:most])
-            key, cls, s, chunk = key[most:], cls[most:], s[most:], chunk + 1
+            yield _chunk_batch(hot, chunk, cls[:side], s[:side])
+            key, cls, s, chunk = key[side:], cls[side:], s[side:], chunk + 1
         left = (key, cls, s)
     if left is not None:
         yield from done(*left, True)
 
 
 def _tiles(batches, radius: int):
+    """Compare the chunks of each tile; rows are sorted by tile, one or two of each."""
+    tile, first = None, None
     for batch in batches:
         for r in batch.to_pylist():
-            pairs = compare_chunks(_unpack(r["p1"], r["n1"]), _unpack(r["p2"], r["n2"]), radius, r["c1"] == r["c2"])
+            at = (r["key"], r["c1"], r["c2"])
+            chunk = _unpack(r["packed"], r["n"])
+            if at != tile:
+                tile, first = at, chunk
+                if r["c1"] != r["c2"]:
+                    continue
+            pairs = compare_chunks(first, chunk, radius, r["c1"] == r["c2"])
             if pairs:
                 a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -309,6 +333,15 @@ def _verify(batches, shingle: int, threshold: float):
                 yield pa.record_batch([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(sim[ok])], names=["a", "b", "similarity"])
 
 
+def _salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(_SALTS)).cast("int")
+
+
+def _copies() -> list:
+    """A copy of a row for each salt: a label that many classes share is looked up in many tasks."""
+    return [F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")]
+
+
 class NearDuplicates:
     """Classes of equal shingle sets and the verified links between them.
 
@@ -340,9 +373,9 @@ class NearDuplicates:
         small = blocks.where("packed is null").select("a", "b")
         chunks = blocks.where("packed is not null").select("key", "chunk", "n", "packed")
         if chunks.limit(1).count():
-            x = chunks.select("key", F.col("chunk").alias("c1"), F.col("n").alias("n1"), F.col("packed").alias("p1"))
-            y = chunks.select("key", F.col("chunk").alias("c2"), F.col("n").alias("n2"), F.col("packed").alias("p2"))
-            tiles = x.join(y, "key").where("c1 <= c2").repartition(F.col("key"), F.col("c1"), F.col("c2")).select("c1", "n1", "p1", "c2", "n2", "p2")
+            many = chunks.groupBy("key").agg(F.count("*").alias("many"))
+            x = chunks.join(many, "key").repartition("key", "chunk").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)))
+            tiles = x.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "n", "packed").repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
             small = small.union(tiles.mapInArrow(lambda it: _tiles(it, radius), "a long, b long"))
         return small.distinct()
 
@@ -356,23 +389,30 @@ class NearDuplicates:
         joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, shingle, threshold), "a long, b long, similarity double"), "links")
 
+    def ranked(self) -> DataFrame:
+        """(table_name, id, cls, place): the place of each record among those of its class, by id, from 1."""
+        reps = materialize(self.representatives(), "representatives")
+        copies = self.members.join(reps.where("copies > 1").select("cls"), "cls", "left_semi").groupBy("table_name", "cls", "id").agg(F.lit(1).alias("one"))
+        places = running_counts(copies, ["cls"], "id", "one").select("table_name", "id", "cls", F.col("upto").cast("long").alias("place"))
+        return places.union(reps.where("copies = 1").select("table_name", "id", "cls", F.lit(1).cast("long")))
+
     def found(self, expand: int = 64) -> DataFrame:
         """(table_name, id_a, id_b): the linked pairs of records, ``id_a < id_b``.
 
-        A class of up to ``expand`` records is expanded into its pairs and the pairs with its partners. A larger class
-        is given by its smallest id: every other record of it is paired with that one, and so are the partners, so
-        no link between different texts is lost and the result stays in proportion to the input.
+        Of a class every record is paired with the ``expand`` records before it, by id; of two linked classes the first
+        ``expand`` records of either are paired with one another. So all pairs come out of classes of no more copies, and of
+        larger groups of copies enough to tie all records together: no link between different texts is lost, and the result grows with
+        the records, not with their square. ``groups`` gives the membership of all.
         """
-        reps = materialize(self.representatives(), "representatives")
-        many = self.members.join(reps.where(F.col("copies") > 1).select("cls", F.col("id").alias("rep"), "copies"), "cls")
-        x = many.select("cls", F.col("id").alias("id_a"), "rep", "copies", "table_name")
-        y = many.where(F.col("copies") <= expand).select("cls", F.col("id").alias("id_b"))
-        inner = x.where(F.col("copies") <= expand).join(y, "cls").where("id_a < id_b").select("table_name", "id_a", "id_b")
-        star = x.where((F.col("copies") > expand) & (F.col("id_a") > F.col("rep"))).select("table_name", F.col("rep").alias("id_a"), F.col("id_a").alias("id_b"))
-        small = self.members.join(reps.select("cls", F.col("id").alias("rep"), "copies"), "cls").where((F.col("copies") <= expand) | (F.col("id") == F.col("rep")))
-        a, b = small.select(F.col("cls").alias("a"), F.col("id").alias("ia"), "table_name"), small.select(F.col("cls").alias("b"), F.col("id").alias("ib"))
+        x = materialize(self.ranked(), "places")
+        block = F.floor(F.col("place") / expand)
+        late = x.select("cls", "table_name", F.col("id").alias("id_b"), F.col("place").alias("later"), F.explode(F.array(block, block - 1)).alias("block"))
+        early = x.select("cls", F.col("id").alias("id_a"), "place", block.alias("block"))
+        inner = early.join(late, ["cls", "block"]).where(F.col("later").between(F.col("place") + 1, F.col("place") + expand)).select("table_name", "id_a", "id_b")
+        few = x.where(F.col("place") <= expand)
+        a, b = few.select(F.col("cls").alias("a"), F.col("id").alias("ia"), "table_name"), few.select(F.col("cls").alias("b"), F.col("id").alias("ib"))
         outer = self.links().select("a", "b").join(a, "a").join(b, "b").select("table_name", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-        return inner.unionByName(star).unionByName(outer)
+        return inner.unionByName(outer)
 
     def groups(self, rounds: int = 50) -> DataFrame:
         """(table_name, id, class_id, copies, links, group_id): one row a record that has at least one shingle.
@@ -388,15 +428,17 @@ class NearDuplicates:
         for _ in range(rounds):
             near = both.join(label.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
             step = label.join(near, "cls").select("cls", "label", F.least("label", "near").alias("new"))
-            far = label.select(F.col("cls").alias("new"), F.col("label").alias("far"))
-            step = materialize(step.join(far, "new").select("cls", "label", F.least("new", "far").alias("new")), "label")
+            far = label.select(F.col("cls").alias("new"), F.col("label").alias("far"), *_copies())
+            step = materialize(step.withColumn("salt", _salt("cls")).join(far, ["new", "salt"]).select("cls", "label", F.least("new", "far").alias("new")), "label")
             moved = step.where("new < label").limit(1).count()
             label = step.select("cls", F.col("new").alias("label"))
             if not moved:
                 break
         else:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
-        label = label.join(reps.select("cls", "id"), "cls").withColumn("least", F.min("id").over(Window.partitionBy("label"))).select("cls", F.col("least").alias("label"))
+        label = materialize(label.join(reps.select("cls", "id"), "cls"), "components")
+        least = label.groupBy("label").agg(F.min("id").alias("least")).select("label", "least", *_copies())
+        label = label.withColumn("salt", _salt("cls")).join(least, ["label", "salt"]).select("cls", F.col("least").alias("label"))
         degree = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
         info = reps.select("cls", F.col("id").alias("class_id"), "copies").join(degree, "cls", "left").join(label, "cls", "left")
         return self.members.join(info, "cls").select("table_name", "id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("label", "class_id").alias("group_id"))

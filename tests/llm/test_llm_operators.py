@@ -86,7 +86,16 @@ def test_large_copy_groups_stay_linear(spark):
     t = text(50)
     df = spark.createDataFrame([("a", k, t) for k in range(300)] + [("a", 300, edited(t, 1))], "table_name string, id long, text string")
     got = {tuple(r) for r in nd.NearDuplicates(df, 3, 0.5, 20).found(expand=10).collect()}
-    assert got == {("a", 0, k) for k in range(1, 301)}
+    inner = {("a", i, j) for i in range(300) for j in range(i + 1, min(i + 11, 300))}
+    assert got == inner | {("a", k, 300) for k in range(10)}
+
+
+def test_hot_blocks_are_cut_into_tiles(spark):
+    t = text(40)
+    rows = [("a", k, edited(t, 1)) for k in range(150)]
+    x = nd.NearDuplicates(spark.createDataFrame(rows, "table_name string, id long, text string"), 3, 0.5, 20, most=2)
+    assert {tuple(r) for r in x.found().collect()} == true_pairs(rows)
+    assert {r.group_id for r in x.groups().collect()} == {0}
 
 
 def test_near_duplicates_of_nothing(spark):
