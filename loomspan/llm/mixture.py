@@ -1,11 +1,12 @@
 """Sources mixed to target weights, by a multivariate-hypergeometric splitting tree.
 
-Sizes are tokens of a public tokenizer. The documents of a source fall by a hash into blocks; as many whole rounds of
-all blocks as fit are used, then blocks in a drawn order, and of the last of these the documents that still fit. So every
-source comes within one document of its quota. The uses of blocks (units) are dealt to the output shards: a binary tree
-over the shards splits the exact numbers of units of all sources by multivariate-hypergeometric draws; every leaf takes
-its numbers from the permuted units of each source, disjoint from those of other leaves. Within a shard documents are
-shuffled by a hash. Only blocks, not documents, are ever listed on the driver, at most ``max_blocks`` of them.
+Sizes are tokens of a public tokenizer. The documents of a source fall by a hash into blocks of about ``block_tokens``; as
+many whole rounds of all blocks as fit are used, then blocks in a drawn order, and of the last of these the documents that
+still fit. So every source comes within one document of its quota. The uses of blocks (units) are dealt to the output
+shards: a binary tree over the shards splits the exact numbers of units of all sources by multivariate-hypergeometric
+draws; every leaf takes its numbers from the permuted units of each source, disjoint from those of other leaves. Within a
+shard documents are shuffled by a hash. Blocks and units are tables: their drawn orders are running counts over ranges of
+a hash. The driver holds numbers by source and shard only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_counts
 from ..scratch import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -104,50 +106,36 @@ class Mixture:
     """A drawn mixture of ``documents`` (doc_id, source, text) to ``targets`` (source, target_share, max_repeats).
 
     Documents of null sources, of sources without a target or without tokens are not used. Repeated rows count as
-    several documents; other columns are ignored. Without documents or targets all results are empty.
+    several documents; other columns are ignored. Without documents or targets all results are empty. Targets are one
+    row a source.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: float | None = None, shards: int = 16, seed: int = 7, tokenizer: str = TOKENIZER, max_blocks: int = 20_000):
-        rng = np.random.default_rng(seed)
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: float | None = None, shards: int = 16, seed: int = 7, tokenizer: str = TOKENIZER, block_tokens: int = 5_000):
         self.shards, self.seed = shards, seed
         spark = documents.sparkSession
         goals = [(r[0], r[1], r[2]) for r in targets.select(source_name(), "target_share", "max_repeats").collect()]  # one row a source
         tokens = materialize(token_counts(documents, tokenizer).where("source is not null and tokens > 0 and doc_id is not null"), "tokens")
         names = spark.createDataFrame([(s,) for s in sorted({g[0] for g in goals if g[0]})], "source string")
-        used = tokens.join(names, "source", "left_semi")
-        have = {r[0]: r[1] for r in used.groupBy("source").agg(F.sum("tokens")).collect()}
+        used = tokens.join(F.broadcast(names), "source", "left_semi")  # a row a target
+        have = {r[0]: r[1] for r in used.groupBy("source").agg(F.sum("tokens")).collect()}  # a row a target
         self.quotas = quotas(have, goals, total)
-        size = max(1, sum(have.values()) // max(1, max_blocks - len(have)))
-        count = {s: min(max(1, n // max(size, 5_000)), max_blocks) for s, n in have.items()}
-        blocks_of = spark.createDataFrame(sorted(count.items()), "source string, blocks long")
-        self.docs = used.join(F.broadcast(blocks_of), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).drop("blocks")
-        each = {(r[0], r[1]): r[2] for r in self.docs.groupBy("source", "block").agg(F.sum("tokens")).collect()}  # at most max_blocks rows
-        self.units, cuts = [], []  # (source, block, copy)
-        by_source: dict[str, list] = {}
-        for q in self.quotas:
-            mine = [b for (s, b) in sorted(each) if s == q.source]
-            todo = [(b, c) for c in range(1, q.rounds + 1) for b in mine]
-            left = q.rest
-            for b in rng.permutation(mine).tolist() if mine else []:
-                if left <= 0:
-                    break
-                todo.append((b, q.rounds + 1))
-                if each[q.source, b] > left:
-                    cuts.append((q.source, b, q.rounds + 1, float(left)))
-                    break
-                left -= each[q.source, b]
-            by_source[q.source] = [todo[i] for i in rng.permutation(len(todo))]
-        order = sorted(by_source)
-        deal = split_quotas(np.array([len(by_source[s]) for s in order], np.int64), shards, rng)
-        for k, s in enumerate(order):
-            ends = np.cumsum(deal[:, k])
-            for i, (b, c) in enumerate(by_source[s]):
-                self.units.append((s, int(b), int(c), int(np.searchsorted(ends, i, "right"))))
-        units = spark.createDataFrame(self.units, "source string, block long, copy int, shard int")
-        cut = spark.createDataFrame(cuts, "source string, block long, copy int, room double")
-        placed = self.docs.join(F.broadcast(units), ["source", "block"]).join(F.broadcast(cut), ["source", "block", "copy"], "left")
+        plan = spark.createDataFrame([(q.source, max(1, q.have // block_tokens), q.rounds, float(q.rest)) for q in self.quotas], "source string, blocks long, rounds int, rest double")
+        plan = F.broadcast(plan)  # a row a target
+        docs = used.join(plan.select("source", "blocks"), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).drop("blocks")
+        blocks = docs.groupBy("source", "block").agg(F.sum("tokens").alias("size")).withColumn("drawn", F.struct(F.xxhash64("block", F.lit(seed + 3)), "block"))
+        order = running_counts(blocks, ["source"], "drawn", "size").join(plan, "source").withColumn("before", F.col("upto") - F.col("size"))
+        uses = F.transform(F.sequence(F.lit(1), F.col("rounds") + (F.col("before") < F.col("rest")).cast("int")), lambda c: F.struct(c.alias("copy"), F.when((c > F.col("rounds")) & (F.col("upto") > F.col("rest")), F.col("rest") - F.col("before")).alias("room")))
+        units = order.where((F.col("rounds") > 0) | (F.col("before") < F.col("rest"))).select("source", "block", F.explode(uses).alias("use")).select("source", "block", "use.copy", "use.room")
+        units = materialize(units.withColumn("drawn", F.struct(F.xxhash64("block", "copy", F.lit(seed + 4)), "block", "copy")).withColumn("one", F.lit(1)), "units")
+        number = {r[0]: r[1] for r in units.groupBy("source").count().collect()}  # a row a target
+        sources = sorted(number)
+        deal = split_quotas(np.array([number[s] for s in sources], np.int64), shards, np.random.default_rng(seed))
+        ends = spark.createDataFrame([(s, np.cumsum(deal[:, k]).tolist()) for k, s in enumerate(sources)], "source string, ends array<long>")
+        shard = F.size(F.filter("ends", lambda e: e < F.col("upto")))  # the leaf that the unit's place falls to
+        dealt = running_counts(units, ["source"], "drawn", "one").join(F.broadcast(ends), "source").select("source", "block", "copy", "room", shard.alias("shard"))
+        placed = docs.join(dealt, ["source", "block"])
         whole = placed.where("room is null").drop("room")
-        # of the last block of a source the documents that fit, by a drawn order; one block a source
+        # of the last block of a source the documents that fit, by a drawn order; one block a source, of about block_tokens
         w = Window.partitionBy("source").orderBy("order", "doc_id")
         part = placed.where("room is not null").withColumn("order", F.xxhash64("doc_id", F.lit(seed + 1))).withColumn("upto", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         part = part.where(F.col("upto") - F.col("tokens") / 2 <= F.col("room")).select(*whole.columns)

@@ -52,7 +52,7 @@ def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return agreement(_votes(spark, d))
+    return agreement(_votes(spark, d)).select("tasks", "votes", *(F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,5 +119,24 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_annotators, p2_agreement, p3_found, p3_stats, p4_found, p4_rates, p5_found, p6_found, p6_ranking, p7_found, p8_mix, p8_shares, p9_found)}
 
 
+AGREEMENT_SQL = """
+with votes as (
+    select task_id, lower(trim(annotator_id)) annotator, preference,
+        row_number() over (partition by task_id, lower(trim(annotator_id)) order by
+            try_cast(regexp_replace(trim(annotated_at), '(Z|z|[+-][0-9]{2}:?[0-9]{2})$', '') as timestamp) desc nulls last,
+            received_at desc nulls last, preference desc) k
+    from annotations
+    where preference between 0 and 2 and annotator_id is not null and task_id in (select task_id from annotation_tasks where task_type = 'pairwise')),
+tasks as (
+    select task_id, count(*) n, count(*) filter (where preference = 0) c0, count(*) filter (where preference = 1) c1, count(*) filter (where preference = 2) c2
+    from votes where k = 1 group by task_id having count(*) >= 2),
+sums as (
+    select count(*) tasks, coalesce(sum(n), 0) v, sum((c0 * (c0 - 1) + c1 * (c1 - 1) + c2 * (c2 - 1)) / (n - 1)) / sum(n) o,
+        (sum(c0) * (sum(c0) - 1) + sum(c1) * (sum(c1) - 1) + sum(c2) * (sum(c2) - 1)) / (sum(n) * (sum(n) - 1)) e
+    from tasks)
+select tasks, cast(v as bigint) votes, round(o, 9) observed, round(e, 9) expected, round((o - e) / (1 - e), 9) kappa from sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_agreement": AGREEMENT_SQL}
