@@ -182,23 +182,15 @@ def compare_runs(key: np.ndarray, cls: np.ndarray, s: np.ndarray, radius: int) -
         return out
     size = size[size > 1]
     of = np.repeat(size, size)
-    lo = 1
-    while lo < size.max():  # runs of similar size together: as many passes as their longest has entries
-        part = (of > lo) & (of <= 2 * lo)
-        lo *= 2
-        if part.any():
-            out.extend(_compare_shifted(key[part], cls[part], s[part], lo, radius))
-    return out
-
-
-def _compare_shifted(key: np.ndarray, cls: np.ndarray, s: np.ndarray, longest: int, radius: int):
-    """Entry i against entry i + d, for all i at once."""
+    order = np.argsort(-of, kind="stable")  # long runs first: a pass only covers those that have entries so far apart
+    key, cls, s, of = key[order], cls[order], s[order], of[order]
     planes = _planes(s)
     width = planes.shape[1]
     padded = np.concatenate([planes, np.zeros((PLANES, 2), np.uint64)], axis=1)
-    for d in range(1, min(longest, len(key))):
-        same = np.zeros(width * 64, np.uint8)
-        same[: len(key) - d] = (key[d:] == key[:-d]) & (cls[d:] != cls[:-d])
+    for d in range(1, int(of[0])):  # entry i against entry i + d, for all i at once
+        m = int(np.searchsorted(-of, -d, "left"))  # entries of runs longer than d
+        same = np.zeros(-(-m // 64) * 64, np.uint8)
+        same[: m - d] = (key[d:m] == key[: m - d]) & (cls[d:m] != cls[: m - d])
         valid = np.packbits(same, bitorder="little").view(np.uint64)
         hop, bit = d // 64, np.uint64(d % 64)
 
@@ -210,7 +202,8 @@ def _compare_shifted(key: np.ndarray, cls: np.ndarray, s: np.ndarray, longest: i
 
         i = _bits(*within_radius(xor, valid, radius))
         if len(i):
-            yield cls[i], cls[i + d]
+            out.append((cls[i], cls[i + d]))
+    return out
 
 
 def compare_chunks(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], radius: int, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
