@@ -7,6 +7,9 @@ position of a text a score, negative where nothing points to toxicity. A linear
 (each the best in its surroundings); their scores follow an extreme-value law under the background, which turns the
 best one into an expected number of chance segments, comparable between texts of any length. Toxic passages are
 learned in rounds: at first whole toxic texts count, afterwards only the segments found in them.
+
+Reviewed texts stay on the executors, the driver gets counts and scores. Beside the model of all of them there is one for each
+fold, fitted without the fold's texts; what counts as a significant score is read off texts that the scoring model has not seen.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 # Cyrillic and Greek letters that look like Latin ones.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n",
@@ -36,6 +41,7 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W_](?: [^\W_]){3,}(?![^\W_])")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _RUN = re.compile(r"(.)\1+")
 _TO_LATIN, _FROM_LEET = str.maketrans(LOOK_ALIKES), str.maketrans(LEET)
+_PLAIN_MOST = 500_000
 _ODD = re.compile(r"\d|[*@$!]|[Ͱ-ӿԀ-֏ɡ]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
@@ -56,6 +62,19 @@ def _plain(t: str) -> str:
     return t
 
 
+class _Plain(dict):
+    """Tokens by how they are written, emptied when it has grown too large."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) >= _PLAIN_MOST:
+            self.clear()
+        x = self[t] = t if t.isalpha() and t.isascii() and not _DRAWN.search(t) else _plain(t)
+        return x
+
+
+_plain_of = _Plain()
+
+
 def tokens(text: str) -> list[str]:
     """Tokens of a text, disguises undone."""
     if not text.isascii():
@@ -64,8 +83,7 @@ def tokens(text: str) -> list[str]:
     if "." in text or "-" in text or "_" in text:
         text = _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m[0]), text)
     text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)  # an article before may be caught, see Model.known
-    ts = _TOKEN.findall(text)
-    return [t if t.isalpha() and t.isascii() and not _DRAWN.search(t) else _plain(t) for t in ts]
+    return [_plain_of[t] for t in _TOKEN.findall(text)]
 
 
 @dataclass
@@ -79,25 +97,33 @@ class Model:
     rate: float = 1.0  # lambda
     scale: float = 1.0  # K
     cut: float = 0.0  # least log of 1 / expected number of chance segments
+    precision: float | None = None  # of the cut, on reviewed texts that the scoring model has not seen
+    recall: float | None = None
+    _firsts: list = field(default_factory=list, repr=False)
 
     def scores(self, ts: list[str]) -> list[float]:
-        single, pair, base = self.single, self.pair, self.base
-        out, before = [], None
-        for t in ts:
-            if t not in single:
-                t = self.known(t)
-            s = single.get(t, base)
-            if before is not None and (p := pair.get((before, t))) is not None:
-                s += p
-            out.append(s)
-            before = t
+        single, base = self.single, self.base
+        ts = [t if t in single else self.known(t) for t in ts]
+        out = [single.get(t, base) for t in ts]
+        pair, first = self.pair, self.firsts
+        for i, t in enumerate(ts[:-1]):
+            if t in first and (p := pair.get((t, ts[i + 1]))) is not None:
+                out[i + 1] += p
         return out
 
+    @property
+    def firsts(self) -> set:
+        """First tokens of the pairs."""
+        if len(self._firsts) != 1 or self._firsts[0][0] is not self.pair:
+            self._firsts[:] = [(self.pair, {a for a, _ in self.pair})]
+        return self._firsts[0][1]
+
     def known(self, t: str) -> str:
         """The scored token that a drawn-out one, or one joined with the article before it, stands for."""
-        if t[0] == "\x02":
+        c = t[0]
+        if c == "\x02":
             return self.drawn.get(t, t)
-        if t[0] in "aioy" and len(t) > 4 and self.single.get(t[1:], 0.0) > 1:
+        if c in "aioy" and len(t) > 4 and self.single.get(t[1:], 0.0) > 1:
             return t[1:]
         return t
 
@@ -172,57 +198,150 @@ def _weigh(inside: dict, size: int, background: dict, total: int, prior: float)
     return out
 
 
-def fit(texts: DataFrame, reviewed: DataFrame, most_reviewed: int = 20_000, rounds: int = 4, prior: float = 0.3) -> Model:
-    """Model from reviewed texts (``text``, ``toxic``), at most ``most_reviewed`` of them, and all ``texts`` as background."""
-    rows = reviewed.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("text"), "toxic").limit(most_reviewed).collect()
-    positive, negative = [tokens(r[0]) for r in rows if r[1] == 1], [tokens(r[0]) for r in rows if r[1] == 0]
-    positive, negative = [x for x in positive if x], [x for x in negative if x]
-    model = Model()
-    if not positive:
-        model.cut = math.inf
-        return model
-    seen = Counter(t for ts in positive for t in set(ts))
-    seen2 = Counter(p for ts in positive for p in set(zip(ts, ts[1:])))
-    # pairs that harmless texts make of telling tokens speak against toxicity, even where no toxic text has them
-    plain = Counter(t for ts in negative for t in set(ts))
-    telling = {t for t, c in seen.items() if c / len(positive) > 2 * (plain[t] + 1) / (len(negative) + 1)}
-    harmless2 = Counter(p for ts in negative for p in set(zip(ts, ts[1:])) if p[0] in telling or p[1] in telling)
-    single, pair = frozenset(seen), frozenset([p for p, c in seen2.items() if c >= 2] + [p for p, c in harmless2.items() if c >= 3])
+def _key(f) -> str:
+    return f if isinstance(f, str) else "\x03".join(f)
+
+
+def _feature(key: str):
+    return tuple(key.split("\x03")) if "\x03" in key else key
+
+
+_COUNTS = "model int, what string, key string, n long"
+
+
+def _counted(counts: dict):
+    """Counters by model and kind as rows."""
+    rows = [(m, what, _key(f), n) for (m, what), c in counts.items() for f, n in c.items()]
+    m, what, key, n = zip(*rows) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(m, pa.int32()), pa.array(what, pa.string()), pa.array(key, pa.string()), pa.array(n, pa.int64())], names=["model", "what", "key", "n"])
+
+
+def _sample(batches):
+    """(tokens, toxic, fold) of a batch of reviewed rows."""
+    for b in batches:
+        for t, toxic, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if ts := tokens(t):
+                yield ts, toxic, fold
+
+
+def _first_counts(batches, models: int):
+    """For every model, texts and tokens by verdict: in how many texts a token and a pair stands, and how often."""
+    out: dict = {}
+    for ts, toxic, fold in _sample(batches):
+        for m in range(models):
+            if m == fold + 1:
+                continue
+            for what, fs in ((f"texts{toxic}", [""]), (f"in{toxic}", {*ts, *zip(ts, ts[1:])}), *((("all", ts), ("all", zip(ts, ts[1:]))) if toxic else ())):
+                out.setdefault((m, what), Counter()).update(fs)
+    yield _counted(out)
+
+
+def _segment_counts(batches, models: list[Model], least: list[float]):
+    out: dict = {}
+    for ts, toxic, fold in _sample(batches):
+        for m, model in enumerate(models):
+            if m == fold + 1 or not toxic:
+                continue
+            for lo, hi, _ in maximal_segments(model.scores(ts), least[m]):
+                out.setdefault((m, "all"), Counter()).update(ts[lo:hi])
+                out[m, "all"].update(zip(ts[lo:hi], ts[lo + 1 : hi]))
+    yield _counted(out)
+
+
+def _best_scores(batches, models: list[Model], unseen: bool):
+    """Best score and length of the reviewed texts, by the models that were fitted with them, or by the one that wasn't."""
+    rows = []
+    for ts, toxic, fold in _sample(batches):
+        for m in [fold + 1] if unseen else [m for m in range(len(models)) if m != fold + 1]:
+            if unseen or not toxic:
+                rows.append((m, toxic, best_segment(models[m].scores(ts))[2], len(ts)))
+    m, toxic, score, n = zip(*rows) if rows else ((), (), (), ())
+    yield pa.record_batch([pa.array(m, pa.int32()), pa.array(toxic, pa.int32()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=["model", "toxic", "score", "n"])
+
+
+_BEST = "model int, toxic int, score double, n long"
+
+
+def _gather(rows: DataFrame) -> dict:
+    """Counters by model and kind: of features of reviewed texts, whose number is bounded."""
+    out: dict = {}
+    for m, what, key, n in rows.groupBy("model", "what", "key").agg(F.sum("n").alias("n")).collect():
+        out.setdefault((m, what), Counter())[_feature(key)] = n
+    return out
+
+
+def fit(texts: DataFrame, reviewed: DataFrame, rounds: int = 4, prior: float = 0.3, folds: int = 5) -> Model:
+    """Model from reviewed texts (``text``, ``toxic``), whose number must be bounded, and all ``texts`` as background."""
+    rows = reviewed.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("text", F.lit(5)), F.lit(folds)).cast("int").alias("fold"))
+    rows = materialize(rows, "reviewed")
+    run = lambda f, schema: rows.mapInArrow(f, schema)
+    counts = _gather(run(lambda it: _first_counts(it, folds + 1), _COUNTS))
+    models = [Model(base=FLOOR) for _ in range(folds + 1)]
+    if not all(counts.get((m, "texts1")) for m in range(folds + 1)):
+        folds, models = 0, models[:1]  # too few to leave any out
+    if (0, "texts1") not in counts:
+        models[0].cut = math.inf
+        return models[0]
+    features, inside = [], []
+    for m in range(len(models)):
+        positive, negative = counts[m, "texts1"][""], counts.get((m, "texts0"), {"": 0})[""]
+        seen, plain = counts[m, "in1"], counts.get((m, "in0"), Counter())
+        single = {t for t in seen if isinstance(t, str)}
+        # pairs that harmless texts make of telling tokens speak against toxicity, even where no toxic text has them
+        telling = {t for t in single if seen[t] / positive > 2 * (plain[t] + 1) / (negative + 1)}
+        harmless = {p for p, c in plain.items() if not isinstance(p, str) and c >= 3 and (p[0] in telling or p[1] in telling)}
+        features.append((single, {p for p, c in seen.items() if not isinstance(p, str) and c >= 2} | harmless))
+        inside.append(counts[m, "all"])
+    single, pair = frozenset().union(*(x for x, _ in features)), frozenset().union(*(x for _, x in features))
     got = texts.select("text").mapInArrow(lambda it: _background(it, single, pair), "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    background = {tuple(r[0].split("\x03")) if "\x03" in r[0] else r[0]: r[1] for r in got}
+    background = {_feature(r[0]): r[1] for r in got}
     total = background.pop("", 0) or 1
-    inside1, inside2, size = Counter(t for ts in positive for t in ts), Counter(p for ts in positive for p in zip(ts, ts[1:])), sum(map(len, positive))
-    model.base = FLOOR
     for k in range(rounds):
-        model.single = _weigh(inside1, size, background, total, prior)
-        model.pair = {}
-        for f, w in _weigh({f: inside2[f] for f in pair}, size, background, total, prior).items():
-            v = w - model.single.get(f[0], FLOOR) - model.single.get(f[1], FLOOR)
-            if v < -0.3 or (w > 0 and v > 0.3):  # a pair adds what its tokens don't say; half, as pairs overlap
-                model.pair[f] = max(-3.0, min(1.5, 0.5 * v))
-        model.drawn = {}
-        for t, w in sorted(model.single.items()):
-            if w > 0 and t[0] > "\x03":
-                model.drawn.setdefault("\x02" + _RUN.sub(r"\1", t), t)
+        for m, model in enumerate(models):
+            model.single, model.pair, model.drawn = _weights(inside[m], features[m][1], background, total, prior)
         if k == rounds - 1:
             break
         # passages that harmless reviewed texts hardly ever have
-        harmless = sorted(best_segment(model.scores(ts))[2] for ts in negative)
-        least = harmless[int(0.97 * (len(harmless) - 1))] if harmless else 0.0
-        inside1, inside2, size = Counter(), Counter(), 0
-        for ts in positive:
-            for lo, hi, _ in maximal_segments(model.scores(ts), least):
-                inside1.update(ts[lo:hi])
-                inside2.update(zip(ts[lo:hi], ts[lo + 1 : hi]))
-                size += hi - lo
-        if not size:
+        scores = run(lambda it: _best_scores(it, models, False), _BEST).toPandas()
+        least = []
+        for m in range(len(models)):
+            harmless = sorted(scores["score"][scores["model"] == m].tolist())
+            least.append(harmless[int(0.97 * (len(harmless) - 1))] if harmless else 0.0)
+        segments = _gather(run(lambda it, least=least: _segment_counts(it, models, least), _COUNTS))
+        if (0, "all") not in segments:
             break
-    _calibrate(model, background, total, positive, negative)
+        inside = [segments.get((m, "all"), inside[m]) for m in range(len(models))]
+    model = models[0]
+    model.rate = _rate(model, background, total)
+    # models of fewer texts score somewhat lower: their scores are read on the scale of the whole model
+    best = run((lambda it: _best_scores(it, models, True)) if folds else (lambda it: _best_seen(it, model)), _BEST).toPandas()
+    _calibrate(model, best)
     return model
 
 
-def _calibrate(model: Model, background: dict, total: int, positive: list, negative: list) -> None:
-    """Lambda from the background distribution of scores, K from the reviewed harmless texts, the cut from both."""
+def _best_seen(batches, model: Model):
+    rows = [(0, toxic, best_segment(model.scores(ts))[2], len(ts)) for ts, toxic, _ in _sample(batches)]
+    m, toxic, score, n = zip(*rows) if rows else ((), (), (), ())
+    yield pa.record_batch([pa.array(m, pa.int32()), pa.array(toxic, pa.int32()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=["model", "toxic", "score", "n"])
+
+
+def _weights(inside: Counter, pairs: set, background: dict, total: int, prior: float) -> tuple[dict, dict, dict]:
+    """Scores of tokens, of pairs beyond their tokens, and the tokens that drawn-out ones stand for."""
+    alone = {f: c for f, c in inside.items() if isinstance(f, str)}
+    size = sum(alone.values())
+    single, pair, drawn = _weigh(alone, size, background, total, prior), {}, {}
+    for f, w in _weigh({f: inside.get(f, 0) for f in pairs}, size, background, total, prior).items():
+        v = w - single.get(f[0], FLOOR) - single.get(f[1], FLOOR)
+        if v < -0.3 or (w > 0 and v > 0.3):  # a pair adds what its tokens don't say; half, as pairs overlap
+            pair[f] = max(-3.0, min(1.5, 0.5 * v))
+    for t, w in sorted(single.items()):
+        if w > 0 and t[0] > "\x03":
+            drawn.setdefault("\x02" + _RUN.sub(r"\1", t), t)
+    return single, pair, drawn
+
+
+def _rate(model: Model, background: dict, total: int) -> float:
+    """Lambda: the rate at which best scores thin out under the background distribution of scores."""
     known = [((background.get(t, 0) + 0.5) / (total + 1.0), w) for t, w in model.single.items()]
     rest = max(0.0, 1 - sum(p for p, _ in known))
 
@@ -235,21 +354,24 @@ def _calibrate(model: Model, background: dict, total: int, positive: list, negat
     for _ in range(50):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if excess(mid) > 0 else (mid, hi)
-    model.rate = hi
-    none = [(best_segment(model.scores(ts))[2], len(ts)) for ts in negative]
-    some = [(best_segment(model.scores(ts))[2], len(ts)) for ts in positive]
+    return hi
+
+
+def _calibrate(model: Model, best) -> None:
+    """K from the best scores of harmless reviewed texts, the cut from those of all, by models that have not seen them."""
+    none, some = ([(s, n) for s, n, t in zip(best["score"].tolist(), best["n"].tolist(), best["toxic"].tolist()) if t == k] for k in (0, 1))
     if none:
         mass = sum(n * math.exp(-model.rate * s) for s, n in none)
         model.scale = len(none) / max(mass, 1e-12)
     y = sorted([(model.significance(*x), 0) for x in none] + [(model.significance(*x), 1) for x in some], reverse=True)
     # the cut with the best balance of precision and recall; harmless rows weigh more, as toxic ones are over-represented
     hit = wrong = 0
-    best, model.cut = -1.0, y[0][0] if y else 0.0
+    top, model.cut = -1.0, y[0][0] if y else 0.0
     for k, (v, toxic) in enumerate(y):
         hit, wrong = hit + toxic, wrong + (1 - toxic)
         f = 2 * hit / (hit + 2 * wrong + len(some))
-        if f > best and (k + 1 == len(y) or y[k + 1][0] < v):
-            best = f
+        if f > top and (k + 1 == len(y) or y[k + 1][0] < v):
+            top, model.precision, model.recall = f, hit / (hit + wrong), hit / max(len(some), 1)
             model.cut = (v + (y[k + 1][0] if k + 1 < len(y) else v)) / 2
 
 
@@ -286,7 +408,7 @@ def toxic_passages(records: DataFrame, reviewed: DataFrame, most_reviewed: int =
     src = records.select(F.col("table_name").cast("string").alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
     verdicts = reviewed.select("table_name", "row_id", "toxic").where("toxic in (0, 1)").orderBy(F.xxhash64("table_name", "row_id"), "toxic").limit(most_reviewed)
     sample = src.join(F.broadcast(verdicts), ["table_name", "row_id"])  # at most most_reviewed rows
-    model = fit(src, sample, most_reviewed)
+    model = fit(src, sample)
     return src.mapInArrow(lambda it: _score(it, model), "table_name string, row_id long, score double, significance double, passages long, passage string, toxic boolean")
 
 
