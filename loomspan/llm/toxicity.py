@@ -206,55 +206,57 @@ def _feature(key: str):
     return tuple(key.split("\x03")) if "\x03" in key else key
 
 
-_COUNTS = "model int, what string, key string, n long"
+_COUNTS = "part int, what string, key string, n long"
 
 
 def _counted(counts: dict):
-    """Counters by model and kind as rows."""
+    """Counters by part (a fold or a model) and kind as rows."""
     rows = [(m, what, _key(f), n) for (m, what), c in counts.items() for f, n in c.items()]
     m, what, key, n = zip(*rows) if rows else ((), (), (), ())
-    return pa.record_batch([pa.array(m, pa.int32()), pa.array(what, pa.string()), pa.array(key, pa.string()), pa.array(n, pa.int64())], names=["model", "what", "key", "n"])
+    return pa.record_batch([pa.array(m, pa.int32()), pa.array(what, pa.string()), pa.array(key, pa.string()), pa.array(n, pa.int64())], names=["part", "what", "key", "n"])
+
+
+def _tokenized(batches):
+    for b in batches:
+        yield pa.record_batch([pa.array([" ".join(tokens(t)) for t in b.column(0).to_pylist()], pa.string()), b.column(1), b.column(2)], names=["tokens", "toxic", "fold"])
 
 
 def _sample(batches):
-    """(tokens, toxic, fold) of a batch of reviewed rows."""
+    """(tokens, toxic, fold) of reviewed rows."""
     for b in batches:
         for t, toxic, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if ts := tokens(t):
-                yield ts, toxic, fold
+            if t:
+                yield t.split(" "), toxic, fold
 
 
-def _first_counts(batches, models: int):
-    """For every model, texts and tokens by verdict: in how many texts a token and a pair stands, and how often."""
+def _first_counts(batches):
+    """For every fold, texts and tokens by verdict: in how many texts a token and a pair stands, and how often in toxic ones."""
     out: dict = {}
     for ts, toxic, fold in _sample(batches):
-        for m in range(models):
-            if m == fold + 1:
-                continue
-            for what, fs in ((f"texts{toxic}", [""]), (f"in{toxic}", {*ts, *zip(ts, ts[1:])}), *((("all", ts), ("all", zip(ts, ts[1:]))) if toxic else ())):
-                out.setdefault((m, what), Counter()).update(fs)
+        for what, fs in ((f"texts{toxic}", [""]), (f"in{toxic}", {*ts, *zip(ts, ts[1:])}), *((("all", ts), ("all", zip(ts, ts[1:]))) if toxic else ())):
+            out.setdefault((fold, what), Counter()).update(fs)
     yield _counted(out)
 
 
-def _segment_counts(batches, models: list[Model], least: list[float]):
+def _segment_counts(batches, models: list[Model], least: list[float], pairs: frozenset):
     out: dict = {}
     for ts, toxic, fold in _sample(batches):
         for m, model in enumerate(models):
             if m == fold + 1 or not toxic:
                 continue
             for lo, hi, _ in maximal_segments(model.scores(ts), least[m]):
-                out.setdefault((m, "all"), Counter()).update(ts[lo:hi])
-                out[m, "all"].update(zip(ts[lo:hi], ts[lo + 1 : hi]))
+                c = out.setdefault((m, "all"), Counter())
+                c.update(ts[lo:hi])
+                c.update([x for x in zip(ts[lo:hi], ts[lo + 1 : hi]) if x in pairs])
     yield _counted(out)
 
 
-def _best_scores(batches, models: list[Model], unseen: bool):
-    """Best score and length of the reviewed texts, by the models that were fitted with them, or by the one that wasn't."""
+def _best_scores(batches, which):
+    """Best score and length of reviewed texts by the models that ``which`` (toxic, fold) names."""
     rows = []
     for ts, toxic, fold in _sample(batches):
-        for m in [fold + 1] if unseen else [m for m in range(len(models)) if m != fold + 1]:
-            if unseen or not toxic:
-                rows.append((m, toxic, best_segment(models[m].scores(ts))[2], len(ts)))
+        for m, model in which(toxic, fold):
+            rows.append((m, toxic, best_segment(model.scores(ts))[2], len(ts)))
     m, toxic, score, n = zip(*rows) if rows else ((), (), (), ())
     yield pa.record_batch([pa.array(m, pa.int32()), pa.array(toxic, pa.int32()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=["model", "toxic", "score", "n"])
 
@@ -262,38 +264,37 @@ def _best_scores(batches, models: list[Model], unseen: bool):
 _BEST = "model int, toxic int, score double, n long"
 
 
-def _gather(rows: DataFrame) -> dict:
-    """Counters by model and kind: of features of reviewed texts, whose number is bounded."""
-    out: dict = {}
-    for m, what, key, n in rows.groupBy("model", "what", "key").agg(F.sum("n").alias("n")).collect():
-        out.setdefault((m, what), Counter())[_feature(key)] = n
-    return out
-
-
 def fit(texts: DataFrame, reviewed: DataFrame, rounds: int = 4, prior: float = 0.3, folds: int = 5) -> Model:
-    """Model from reviewed texts (``text``, ``toxic``), whose number must be bounded, and all ``texts`` as background."""
+    """Model from reviewed texts (``text``, ``toxic``), whose number must be bounded, and all ``texts`` as background.
+
+    Tokens and pairs of reviewed texts come to the driver as counts; pairs that stand in one text only are of no use and stay.
+    """
     rows = reviewed.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("text", F.lit(5)), F.lit(folds)).cast("int").alias("fold"))
-    rows = materialize(rows, "reviewed")
-    run = lambda f, schema: rows.mapInArrow(f, schema)
-    counts = _gather(run(lambda it: _first_counts(it, folds + 1), _COUNTS))
+    rows = materialize(rows.mapInArrow(_tokenized, "tokens string, toxic int, fold int"), "reviewed")
+    by_fold = F.array(*(F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)) for k in range(folds)))
+    got = rows.mapInArrow(_first_counts, _COUNTS).groupBy("what", "key").agg(by_fold.alias("n"), F.sum("n").alias("total"))
+    pair = F.contains("key", F.lit("\x03"))
+    counts: dict = {}
+    for what, key, n in got.where(~pair | (F.col("total") >= F.when(F.col("what") == "in0", 3).otherwise(2))).select("what", "key", "n").collect():
+        counts.setdefault(what, {})[_feature(key)] = n
+    if "texts1" not in counts:
+        return Model(cut=math.inf)
+    if min(counts["texts1"][""][k] for k in range(folds)) == 0 or sum(counts["texts1"][""]) < 2 * folds:
+        folds = 0  # too few to leave any out
     models = [Model(base=FLOOR) for _ in range(folds + 1)]
-    if not all(counts.get((m, "texts1")) for m in range(folds + 1)):
-        folds, models = 0, models[:1]  # too few to leave any out
-    if (0, "texts1") not in counts:
-        models[0].cut = math.inf
-        return models[0]
     features, inside = [], []
     for m in range(len(models)):
-        positive, negative = counts[m, "texts1"][""], counts.get((m, "texts0"), {"": 0})[""]
-        seen, plain = counts[m, "in1"], counts.get((m, "in0"), Counter())
+        of = lambda what, m=m: {f: c for f, n in counts.get(what, {}).items() if (c := sum(n) - (n[m - 1] if m else 0))}
+        positive, negative, seen, plain = of("texts1")[""], of("texts0").get("", 0), of("in1"), of("in0")
         single = {t for t in seen if isinstance(t, str)}
         # pairs that harmless texts make of telling tokens speak against toxicity, even where no toxic text has them
-        telling = {t for t in single if seen[t] / positive > 2 * (plain[t] + 1) / (negative + 1)}
+        telling = {t for t in single if seen[t] / positive > 2 * (plain.get(t, 0) + 1) / (negative + 1)}
         harmless = {p for p, c in plain.items() if not isinstance(p, str) and c >= 3 and (p[0] in telling or p[1] in telling)}
         features.append((single, {p for p, c in seen.items() if not isinstance(p, str) and c >= 2} | harmless))
-        inside.append(counts[m, "all"])
-    single, pair = frozenset().union(*(x for x, _ in features)), frozenset().union(*(x for _, x in features))
-    got = texts.select("text").mapInArrow(lambda it: _background(it, single, pair), "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        inside.append(of("all"))
+    del counts
+    single, pairs = frozenset().union(*(x for x, _ in features)), frozenset().union(*(x for _, x in features))
+    got = texts.select("text").mapInArrow(lambda it: _background(it, single, pairs), "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     background = {_feature(r[0]): r[1] for r in got}
     total = background.pop("", 0) or 1
     for k in range(rounds):
@@ -301,31 +302,27 @@ def fit(texts: DataFrame, reviewed: DataFrame, rounds: int = 4, prior: float = 0
             model.single, model.pair, model.drawn = _weights(inside[m], features[m][1], background, total, prior)
         if k == rounds - 1:
             break
-        # passages that harmless reviewed texts hardly ever have
-        scores = run(lambda it: _best_scores(it, models, False), _BEST).toPandas()
+        # passages that harmless reviewed texts hardly ever have, read off a fold for each model, one that it was fitted with
+        which = lambda toxic, fold: [(m, x) for m, x in enumerate(models) if not toxic and (not folds or m % folds == fold)]
+        scores = rows.mapInArrow(lambda it, which=which: _best_scores(it, which), _BEST).toPandas()
         least = []
         for m in range(len(models)):
             harmless = sorted(scores["score"][scores["model"] == m].tolist())
             least.append(harmless[int(0.97 * (len(harmless) - 1))] if harmless else 0.0)
-        segments = _gather(run(lambda it, least=least: _segment_counts(it, models, least), _COUNTS))
-        if (0, "all") not in segments:
+        segments: dict = {}
+        for m, key, n in rows.mapInArrow(lambda it, least=least: _segment_counts(it, models, least, pairs), _COUNTS).groupBy("part", "key").agg(F.sum("n").alias("n")).collect():
+            segments.setdefault(m, {})[_feature(key)] = n
+        if 0 not in segments:
             break
-        inside = [segments.get((m, "all"), inside[m]) for m in range(len(models))]
+        inside = [segments.get(m, inside[m]) for m in range(len(models))]
     model = models[0]
     model.rate = _rate(model, background, total)
-    # models of fewer texts score somewhat lower: their scores are read on the scale of the whole model
-    best = run((lambda it: _best_scores(it, models, True)) if folds else (lambda it: _best_seen(it, model)), _BEST).toPandas()
-    _calibrate(model, best)
+    unseen = lambda toxic, fold: [(fold + 1, models[fold + 1]) if folds else (0, model)]
+    _calibrate(model, rows.mapInArrow(lambda it: _best_scores(it, unseen), _BEST).toPandas())
     return model
 
 
-def _best_seen(batches, model: Model):
-    rows = [(0, toxic, best_segment(model.scores(ts))[2], len(ts)) for ts, toxic, _ in _sample(batches)]
-    m, toxic, score, n = zip(*rows) if rows else ((), (), (), ())
-    yield pa.record_batch([pa.array(m, pa.int32()), pa.array(toxic, pa.int32()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=["model", "toxic", "score", "n"])
-
-
-def _weights(inside: Counter, pairs: set, background: dict, total: int, prior: float) -> tuple[dict, dict, dict]:
+def _weights(inside: dict, pairs: set, background: dict, total: int, prior: float) -> tuple[dict, dict, dict]:
     """Scores of tokens, of pairs beyond their tokens, and the tokens that drawn-out ones stand for."""
     alone = {f: c for f, c in inside.items() if isinstance(f, str)}
     size = sum(alone.values())
