@@ -125,3 +125,52 @@ def sft_text(df: DataFrame, template: str = "chatml") -> DataFrame:
 def plain_conversation(messages: Column) -> Column:
     """``role: content``, one message a line."""
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+
+
+# Tokens that begin and end a text and separate messages, by template.
+SPECIAL_TOKENS = {"chatml": ("", "<|im_end|>", ""), "alpaca": ("", "", ""), "llama2": ("<s>", "</s>", ""), "vicuna": ("", "</s>", ""), "zephyr": ("", "</s>", ""), "mistral": ("<s>", "</s>", "")}
+
+
+def special_tokens(template: str) -> dict[str, str]:
+    """The special tokens of a template; an unknown one raises ``ValueError``."""
+    if template not in SPECIAL_TOKENS:
+        raise ValueError(f"unknown template {template!r}")
+    return dict(zip(("bos_token", "eos_token", "sep_token"), SPECIAL_TOKENS[template]))
+
+
+def template_for_tokenizer(tokenizer, default: str = "chatml") -> str:
+    """The template of a tokenizer by its ``name_or_path``; one without a name has the default."""
+    return template_for_model(getattr(tokenizer, "name_or_path", "") or "", default)
+
+
+def special_token_columns(template: Column) -> Column:
+    """A struct of the special tokens of each template in a column; null for unknown ones."""
+    out = F
+    for name, (bos, eos, sep) in SPECIAL_TOKENS.items():
+        out = out.when(template == name, F.struct(F.lit(bos).alias("bos_token"), F.lit(eos).alias("eos_token"), F.lit(sep).alias("sep_token")))
+    return out
+
+
+def script_text(df: DataFrame, template: str = "chatml") -> DataFrame:
+    """Add ``text`` from instruction with output, prompt with response, text, or else the first column."""
+    c = set(df.columns)
+    col = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("")) if x in c else F.lit("")
+    if {"instruction", "output"} <= c:
+        out = instruction(template, col("instruction"), col("input"), col("output"))
+    elif {"prompt", "response"} <= c:
+        out = instruction(template, col("prompt"), F.lit(""), col("response"))
+    else:
+        out = col("text" if "text" in c else df.columns[0])
+    return df.withColumn("text", out)
+
+
+def format_dataset(df: DataFrame, template: str = "chatml", out: str = "formatted_text") -> DataFrame:
+    """Add the formatted text under another name, the columns as they are."""
+    x = sft_text(df.withColumn("__text", F.col("text")) if "text" in df.columns else df, template).withColumn(out, F.col("text"))
+    return x.withColumn("text", F.col("__text")).drop("__text") if "text" in df.columns else x.drop("text")
+
+
+def user_conversation(prompt: Column, response: Column | None = None, system: Column | None = None) -> Column:
+    """Messages of one exchange: an optional system message, the user's, an optional answer; empty ones are left out."""
+    m = lambda role, x: F.when(_filled(x), F.struct(F.lit(role).alias("role"), x.alias("content")))
+    return F.filter(F.array(*(m(r, x) for r, x in (("system", system), ("user", prompt), ("assistant", response)) if x is not None)), lambda x: x.isNotNull())

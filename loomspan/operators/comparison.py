@@ -115,3 +115,13 @@ def samples(df: DataFrame, a: str, b: str, key: str, n: int = 10) -> DataFrame:
     )
     hits = F.filter(F.array(*(F.when(cond, F.struct(w.alias("winner"), F.lit(name).alias("region"))) for cond, w, name in regions)), lambda r: r.isNotNull())
     return x.select("key", "diff", F.explode(hits).alias("r")).select("key", "diff", "r.winner", "r.region")
+
+
+def merged_metrics(*metrics: DataFrame, by: str = "model") -> DataFrame:
+    """(model, metric, value): the metrics of all tables, a row a model each, as long rows by the model's own name."""
+    out = None
+    for k, df in enumerate(metrics):
+        names = [c for c in df.columns if c != by]
+        x = df.select(by, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(by, names, "metric", "value")
+        out = x if out is None else out.unionByName(x)
+    return out

@@ -52,12 +52,26 @@ class Curator:
     def toxicity(self, scores_column: str = "scores", threshold: float = 0.7) -> Curator:
         return self.add("toxicity", by_column(lambda df: screening.reason(F.col(self.text_column), F.col(scores_column), threshold)))
 
+    @classmethod
+    def from_settings(cls, settings: dict, **kw) -> Curator:
+        """Filters in the order quality, deduplication, toxicity, each where its settings aren't absent or switched off (``enabled``)."""
+        out = cls(**kw)
+        on = lambda x: x is not None and x is not False and (not isinstance(x, dict) or x.get("enabled", True))
+        given = lambda x: {k: v for k, v in x.items() if k != "enabled"} if isinstance(x, dict) else {}
+        if on(x := settings.get("quality")):
+            out.quality(quality.QualityRules(**given(x)))
+        if on(x := settings.get("deduplication")):
+            out.deduplicate(**given(x))
+        if on(x := settings.get("toxicity")):
+            out.toxicity(**given(x))
+        return out
+
     def run(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Kept rows, and (stage, total, passed, removed, reason, n) with a row for each reason of each stage."""
+        """Kept rows, and (position, stage, total, passed, removed, reason, n) with a row for each reason of each stage."""
         stats = None
         for k, (name, stage) in enumerate(self.stages):
             judged = materialize(stage(df), name)  # read by the statistics and, more than once, by the next stage
-            s = judged.groupBy(F.coalesce("__reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")).select(F.lit(k).alias("position"), F.lit(name).alias("stage"), "reason", "n")
+            s = quality.filter_stats(judged, "__reason").select(F.lit(k).alias("position"), F.lit(name).alias("stage"), "total", "passed", "removed", "reason", "n")
             stats = s if stats is None else stats.unionByName(s)
             df = judged.where("__reason is null").drop("__reason")
         return df, stats

@@ -12,7 +12,7 @@ from ..functions.numeric import ratio, share
 
 def pairwise_tasks(pairs: DataFrame, names: tuple[str, str], seed: int = 0) -> DataFrame:
     """Tasks from (id, prompt, response_a, response_b) with sides swapped by a hash, the swap being recorded."""
-    swap = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 1
+    swap = F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(f"side{seed}"))), 1, 1) >= "8"
     r = F.when(swap, F.array("response_b", "response_a")).otherwise(F.array("response_a", "response_b"))
     return pairs.select(F.substring(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 256), 1, 8).alias("task_id"), F.lit("pairwise").alias("task_type"), "prompt", r.alias("responses"), F.create_map(F.lit("model_names"), F.to_json(F.array(*(F.lit(n) for n in names))), F.lit("shuffled"), swap.cast("string")).alias("metadata"))
 
@@ -81,3 +81,58 @@ def filter_low_quality(annotations: DataFrame, min_time: float = 5.0, deviation:
     x = kept.join(m, "task_id", "left")
     strong = F.col("__votes") / F.col("__rows") > 1 - deviation
     return x.where(~F.coalesce(strong & F.col("preference").isNotNull() & (F.col("preference") != F.col("__major")), F.lit(False))).drop("__major", "__votes", "__rows")
+
+
+def summary(annotations: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """One row: tasks, annotations and annotators, agreement, win rates with their intervals, quality of annotation. ``dimensions`` has a row a dimension.
+
+    Shares and means of nothing are null; the intervals of nothing are 0.
+    """
+    labels = majority(annotations)
+    totals = annotations.agg(F.count_distinct("task_id").alias("total_tasks"), F.count("*").alias("total_annotations"), F.count_distinct("annotator_id").alias("num_annotators"))
+    parts = [agreement(annotations).select("agreement_rate"), win_rates(labels).select("a", "b", "tie"), win_intervals(labels, confidence).drop("n"), annotation_quality(annotations).drop("n")]
+    out = totals
+    for x in parts:  # one row each
+        out = out.join(F.broadcast(x))
+    return out
+
+
+# Fields of a record and what a missing one is.
+TASK_SCHEMA = "task_id string, task_type string, prompt string, responses array<string>, dimensions array<string>, metadata map<string,string>"
+ANNOTATION_SCHEMA = "task_id string, annotator_id string, preference int, ratings map<string,int>, ranking array<int>, comments string, time_spent double, annotated_at string"
+TASK_TYPES = ("pairwise", "likert", "ranking")
+
+
+def to_records(df: DataFrame, schema: str) -> DataFrame:
+    """(record): each row as JSON, in the order of the fields."""
+    names = [f.strip().split(" ")[0] for f in _fields(schema)]
+    return df.select(F.to_json(F.struct(*(c for c in names if c in df.columns)), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def from_records(df: DataFrame, schema: str, column: str = "record") -> DataFrame:
+    """Rows of JSON records. Missing texts are empty, missing lists and maps have no entries, a missing time is 0; an unreadable record has no id and is left out."""
+    x = df.select(F.from_json(column, schema).alias("r")).where("r is not null and r.task_id is not null").select("r.*")
+    empty = {"string": F.lit(""), "double": F.lit(0.0)}
+    out = []
+    for name, kind in x.dtypes:
+        default = empty.get(kind) if name in ("prompt", "comments", "time_spent", "task_type") else F.expr(f"cast(array() as {kind})") if kind.startswith("array") else F.expr(f"cast(map() as {kind})") if kind.startswith("map") else None
+        out.append(F.col(name) if default is None else F.coalesce(name, default).alias(name))
+    return x.select(*out)
+
+
+def checked_type(task_type: Column) -> Column:
+    """The type as it is named; one that isn't known raises."""
+    low = F.lower(F.trim(task_type))
+    return F.when(low.isin(*TASK_TYPES), low).otherwise(F.raise_error(F.concat(F.lit("unknown type "), low)).cast("string"))
+
+
+def _fields(schema: str) -> list[str]:
+    """Top-level fields of a schema text."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out

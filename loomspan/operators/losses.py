@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log_sigmoid, share, softplus
@@ -53,12 +53,6 @@ def dpo_ipo(logits: Column, beta: float = 0.1) -> Column:
     return F.pow(logits - 1 / (2 * beta), F.lit(2.0))
 
 
-def whiten(x: Column, by: list[str] | None = None, epsilon: float = 1e-8) -> Column:
-    """Centred and scaled by the sample deviation over all rows or groups. Without groups one task sees all rows; prefer ``whitened``."""
-    w = Window.partitionBy(*(by or []))
-    return (x - F.avg(x).over(w)) / (F.stddev_samp(x).over(w) + epsilon)
-
-
 def whitened(df: DataFrame, column: str, out: str, epsilon: float = 1e-8) -> DataFrame:
     """Whitened over all rows by a one-row aggregate, so rows stay where they are."""
     m = df.agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("__s"))
@@ -103,3 +97,31 @@ def gae(rewards: Column, values: Column, gamma: float = 0.99, lam: float = 0.95)
 def full_kl(p: Column, q: Column, epsilon: float = 1e-10) -> Column:
     """Divergence of two arrays of probabilities."""
     return F.aggregate(F.zip_with(p, q, lambda a, b: a * F.ln((a + epsilon) / (b + epsilon))), F.lit(0.0), lambda s, x: s + x)
+
+
+def length_normalised(reward: Column, length: Column) -> Column:
+    """Reward by tokens; a length of 0 counts as 1."""
+    return reward / F.greatest(length, F.lit(1))
+
+
+def advantages(df: DataFrame, reward: str, value: str) -> DataFrame:
+    """Add ``returns``, which are the rewards, and ``advantage``, reward less value, whitened over all rows."""
+    return whitened(df.withColumn("returns", F.col(reward)).withColumn("__raw", F.col(reward) - F.col(value)), "__raw", "advantage").drop("__raw")
+
+
+def last_value(values: Column, mask: Column) -> Column:
+    """The value at the last token that the mask keeps; null if it keeps none."""
+    return F.try_element_at(F.filter(F.zip_with(values, mask, lambda v, m: F.when(m == 1, v)), lambda v: v.isNotNull()), F.lit(-1))
+
+
+def policy_evaluation(df: DataFrame, reward: str, response: str) -> DataFrame:
+    """(mean_reward, std_reward, mean_length): sample deviation, characters."""
+    return df.agg(F.avg(reward).alias("mean_reward"), F.stddev_samp(reward).alias("std_reward"), F.avg(F.length(response)).alias("mean_length"))
+
+
+def dpo_evaluation(df: DataFrame, batch: str, pc: str, pr: str, rc: str, rr: str, beta: float = 0.1) -> DataFrame:
+    """(loss, accuracy, chosen_reward, rejected_reward): means of the batches' means, a short batch weighing as much as any."""
+    c, r = beta * (F.col(pc) - F.col(rc)), beta * (F.col(pr) - F.col(rr))
+    loss = dpo_sigmoid(dpo_logits(F.col(pc), F.col(pr), F.col(rc), F.col(rr)), beta)
+    by = df.groupBy(batch).agg(F.avg(loss).alias("loss"), share(c > r).alias("accuracy"), F.avg(c).alias("chosen_reward"), F.avg(r).alias("rejected_reward"))
+    return by.agg(*(F.avg(x).alias(x) for x in ("loss", "accuracy", "chosen_reward", "rejected_reward")))

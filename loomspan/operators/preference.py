@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .models import Generator, generate
+
 # Fixed value: form of a rating in a judge's answer.
 RATING = r"Response {side}:\s*(\d+(?:\.\d+)?)"
 
@@ -97,3 +102,129 @@ def extract_prompt(df: DataFrame) -> Column:
 
 def pair_text(prompt: Column, answer: Column, sep: str = "\n") -> Column:
     return F.concat(F.coalesce(prompt, F.lit("")), F.lit(sep), F.coalesce(answer, F.lit("")))
+
+
+# Requests to a critic, a reviser and a judge.
+CRITIQUE = """You are a helpful assistant that critiques responses.
+
+Given this response to a prompt, critique it based on the following principle:
+Principle: {principle}
+
+Prompt: {prompt}
+
+Response: {response}
+
+Provide a brief critique identifying any issues with the response based on the principle.
+Critique:"""
+REVISION = """You are a helpful assistant that improves responses.
+
+Given the original response and critique, provide an improved version.
+
+Prompt: {prompt}
+
+Original Response: {response}
+
+Critique: {critique}
+
+Improved Response:"""
+RANKING = """You are a helpful assistant that evaluates response quality.
+
+Given the prompt and two responses, rate each response from 1-10 based on:
+- Helpfulness and relevance
+- Accuracy and correctness
+- Clarity and coherence
+- Completeness
+
+Prompt: {prompt}
+
+Response A:
+{response_a}
+
+Response B:
+{response_b}
+
+Output your ratings in this exact format:
+Response A: [score]
+Response B: [score]
+
+Ratings:"""
+# Principles of a critic.
+PRINCIPLES = ["Please choose the response that is the most helpful, harmless, and honest.", "Please choose the response that is less harmful or toxic.", "Please choose the response that is more accurate and factual.", "Please choose the response that is more respectful and considerate."]
+# Way of making pairs by strategy; others rank by a model.
+STRATEGIES = {"model_ranking": "model_ranking", "reward_model": "reward_model", "constitutional": "constitutional"}
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """A request with its slots filled; a null counts as empty."""
+    out, rest = [], template
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [F.lit(before), F.coalesce(columns[name], F.lit(""))]
+    return F.concat(*out, F.lit(rest))
+
+
+def long_enough(response: Column, least: int = 10) -> Column:
+    """More than ``least`` characters without surrounding white space; false for null."""
+    return F.coalesce(F.length(T.trimmed(response)) > least, F.lit(False))
+
+
+def principle_of(key: Column, principles: list[str] = PRINCIPLES) -> Column:
+    """A principle for each row, drawn by a hash of its key."""
+    return F.element_at(F.array(*(F.lit(p) for p in principles)), (F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long") % len(principles) + 1).cast("int"))
+
+
+def constitutional_pairs(df: DataFrame) -> DataFrame:
+    """(prompt, chosen, rejected, metadata) of (prompt, response, principle, critique, revision): the revision is chosen over the response.
+
+    Rows with an empty response or revision give no pair.
+    """
+    ok = (F.length("response") > 0) & (F.length("revision") > 0)
+    meta = F.create_map(F.lit("principle"), F.col("principle"), F.lit("critique"), F.col("critique"))
+    return df.where(ok).select("prompt", F.col("revision").alias("chosen"), F.col("response").alias("rejected"), meta.alias("metadata"))
+
+
+def constitutional(prompts: DataFrame, respond: Generator, critic: Generator, reviser: Generator, key: str = "prompt", principles: list[str] = PRINCIPLES) -> DataFrame:
+    """Pairs of prompts (``prompt``): a response, its critique by a drawn principle, and its revision, by injected generators."""
+    x = generate(prompts, respond, "prompt", "response").where(F.length("response") > 0).withColumn("principle", principle_of(F.col(key), principles))
+    x = x.withColumn("__ask", filled(CRITIQUE, principle=F.col("principle"), prompt=F.col("prompt"), response=F.col("response")))
+    x = generate(x, critic, "__ask", "critique").withColumn("__ask", filled(REVISION, prompt=F.col("prompt"), response=F.col("response"), critique=F.col("critique")))
+    return constitutional_pairs(generate(x, reviser, "__ask", "revision"))
+
+
+def way_of(strategy: Column) -> Column:
+    """How pairs of a strategy are made: by ranking, unless it names another way."""
+    out = F.lit("model_ranking")
+    for name, way in STRATEGIES.items():
+        out = F.when(F.lower(strategy) == name, way).otherwise(out)
+    return out
+
+
+def from_human_labels(df: DataFrame) -> DataFrame:
+    """Labelled pairs as they are; a missing column raises ``ValueError``."""
+    missing = {"prompt", "chosen", "rejected"} - set(df.columns)
+    if missing:
+        raise ValueError(f"missing columns {sorted(missing)}")
+    return df
+
+
+def flattened(df: DataFrame, keys: list[str], column: str = "metadata") -> DataFrame:
+    """Pairs with the wanted keys of their metadata as columns, names that are taken already left out."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, *(F.col(column)[k].alias(k) for k in keys if k not in rest))
+
+
+def item(df: DataFrame, tokenizer: Callable[[str], list[int]], max_length: int, prompt_column: str | None = "prompt", sep: str = "\n") -> DataFrame:
+    """Add the tokens of both texts of each pair (``chosen_ids``, ``rejected_ids``) of equal length with their masks; without a prompt column the prompt is empty."""
+    from . import token_arrays as K
+
+    prompt = F.col(prompt_column) if prompt_column else F.lit("")
+    x = df
+    for side in ("chosen", "rejected"):
+        x = K.tokenize(x.withColumn("__text", pair_text(prompt, F.col(side), sep)), tokenizer, "__text", f"{side}_ids", max_length).drop("__text")
+    return x.withColumns({f"{s}_ids": K.pad(F.col(f"{s}_ids"), F.lit(max_length)) for s in ("chosen", "rejected")}).withColumns({f"{s}_mask": K.attention_mask(F.col(f"{s}_ids")) for s in ("chosen", "rejected")})
+
+
+def reward_temperatures(n: int, schedule: list[float]) -> list[float]:
+    """Temperatures of a reward ranking: each of the schedule ``n // len`` times, so perhaps fewer than ``n``."""
+    return [t for t in schedule for _ in range(n // len(schedule))]

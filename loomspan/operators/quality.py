@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +46,37 @@ def with_reason(df: DataFrame, rules: QualityRules | None = None, text_column: s
 
 def filter_stats(df: DataFrame, reason_column: str = "reason") -> DataFrame:
     """(total, passed, removed, reason, n): one row a reason, totals repeated on each; no row for an empty input."""
-    by = df.groupBy(F.coalesce(reason_column, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-    return by
+    return merge_stats(df.groupBy(F.coalesce(reason_column, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
 
 
 def merge_stats(*stats: DataFrame) -> DataFrame:
-    """Sum statistics of several runs by reason."""
-    out = stats[0]
+    """Sum statistics (reason, n) of several runs by reason, with their totals."""
+    out = stats[0].select("reason", "n")
     for s in stats[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("reason").agg(F.sum("n").alias("n"))
+        out = out.unionByName(s.select("reason", "n"))
+    by = out.groupBy("reason").agg(F.sum("n").alias("n"))
+    passed = F.coalesce(F.sum(F.when(F.col("reason") == "kept", F.col("n"))), F.lit(0))
+    one = by.agg(F.sum("n").alias("total"), passed.alias("passed"))  # a row, of as many rows as there are reasons
+    return by.join(F.broadcast(one)).select("total", "passed", (F.col("total") - F.col("passed")).alias("removed"), "reason", "n")
+
+
+def quick_reason(text: Column, ws: Column, rules: QualityRules | None = None) -> Column:
+    """The reason of the rules that need no model, for texts; a null text has none."""
+    return F.when(text.isNotNull(), replace(rules or QualityRules(), max_perplexity=None).reason(text, ws))
+
+
+def with_deferred_perplexity(df: DataFrame, scorer, rules: QualityRules, text_column: str = "text", reason_column: str = "reason") -> DataFrame:
+    """As ``with_reason``, but only the texts that pass the other rules are scored by an injected model.
+
+    The quick reasons are written once, so the text is judged once; the scorer runs on Arrow batches of the survivors.
+    """
+    from ..scratch import materialize
+    from .models import score
+
+    quick = materialize(with_reason(df, replace(rules, max_perplexity=None), text_column, reason_column), "quick")
+    scored = score(quick.where(F.col(reason_column).isNull()), scorer, text_column, "__perplexity")
+    high = F.when(F.col("__perplexity") > rules.max_perplexity, "high_perplexity") if rules.max_perplexity is not None else F.lit(None).cast("string")
+    return quick.where(F.col(reason_column).isNotNull()).unionByName(scored.withColumn(reason_column, high).drop("__perplexity"))
 
 
 def quality_filter(df: DataFrame, rules: QualityRules | None = None, text_column: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .ordering import running_counts
 
 PERCENTILES = (5, 25, 50, 75, 95)
@@ -64,7 +65,8 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def drift(baseline: DataFrame, current: DataFrame, reward: str, bins: int = 50, epsilon: float = 1e-10) -> DataFrame:
     """Shift of mean, spread and range, divergence of the histograms by bin number, and whether it is significant."""
-    d = compare(distribution(baseline, reward), distribution(current, reward)).join(F.broadcast(distribution(baseline, reward).select(F.col("mean").alias("base_mean"))))
+    base = materialize(distribution(baseline, reward), "distribution")  # one row, read twice
+    d = compare(base, distribution(current, reward)).join(F.broadcast(base.select(F.col("mean").alias("base_mean"))))
     p, q = histogram(baseline, reward, bins), histogram(current, reward, bins)
     tp, tq = p.agg(F.sum("n").alias("tp")), q.agg(F.sum("n").alias("tq"))
     both = p.select("bin", F.col("n").alias("np")).join(q.select("bin", F.col("n").alias("nq")), "bin").join(F.broadcast(tp)).join(F.broadcast(tq))
@@ -73,3 +75,10 @@ def drift(baseline: DataFrame, current: DataFrame, reward: str, bins: int = 50,
     x = d.join(F.broadcast(k))
     relative = F.col("mean_diff") / F.greatest(F.abs("base_mean"), F.lit(1e-8))
     return x.select(F.col("mean_diff").alias("mean_shift"), relative.alias("relative_shift"), "std_ratio", (F.col("range_b") / F.greatest("range_a", F.lit(1e-8))).alias("range_ratio"), "kl", ((F.abs(relative) > 0.1) | (F.col("kl") > 0.5)).alias("significant"))
+
+
+def distribution_of(prompts: DataFrame, scorer, text_column: str = "text", reward_column: str = "reward") -> DataFrame:
+    """Distribution of the rewards that an injected scorer gives; a text's reward doesn't depend on its batch."""
+    from .models import score
+
+    return distribution(score(prompts, scorer, text_column, reward_column), reward_column)

@@ -73,3 +73,54 @@ def largest_jump(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("metric").orderBy("size")
     d = df.select("metric", "size", F.abs(F.col("value") - F.lag("value").over(w)).alias("step")).where("step is not null")
     return d.groupBy("metric").agg(F.max_by("size", F.struct("step", (-F.col("size")).alias("k"))).alias("size"), F.max("step").alias("jump"), F.avg("step").alias("m")).select("metric", "size", "jump", (F.col("jump") > 2 * F.col("m")).alias("notable"))
+
+
+def metric_at(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(size, metric, value) for each wanted (size, metric); null where there is none."""
+    return wanted.select("size", "metric").join(metrics.select("size", "metric", "value"), ["size", "metric"], "left")
+
+
+def exponent_notes(laws: dict[str, dict[str, float]]) -> list[str]:
+    """What the exponents of fitted power laws say, by metric; a handful of numbers, on the driver."""
+    out = []
+    for metric, law in laws.items():
+        b = law.get("b")
+        if b is not None and b > 0:
+            out.append(f"{metric}: Shows positive scaling (exponent={b:.3f})")
+        elif b is not None and b < -0.1:
+            out.append(f"{metric}: Shows diminishing returns (exponent={b:.3f})")
+    return out
+
+
+def jump_notes(metrics: DataFrame) -> DataFrame:
+    """(metric, note) of metrics of three sizes or more whose largest step is above twice the mean step."""
+    enough = metrics.groupBy("metric").agg(F.count("*").alias("n")).where("n >= 3").select("metric")
+    x = largest_jump(metrics).where("notable").join(enough, "metric", "left_semi")
+    return x.select("metric", F.concat("metric", F.lit(": Potential emergence detected at size "), F.col("size").cast("string")).alias("note"))
+
+
+def fit_laws(metrics: DataFrame, least_sizes: int = 3) -> dict[str, dict[str, float]]:
+    """Power laws of the metrics with enough sizes; (size, metric, value) is a row a size of a model."""
+    by: dict[str, list[tuple[float, float]]] = {}
+    for r in metrics.where("size is not null and value is not null").select("metric", "size", "value").collect():
+        by.setdefault(r[0], []).append((float(r[1]), float(r[2])))
+    return {m: power_law(*map(list, zip(*sorted(v)))) for m, v in sorted(by.items()) if len(v) >= least_sizes}
+
+
+def analyse(responses: DataFrame, losses: DataFrame | None = None) -> tuple[DataFrame, dict[str, dict[str, float]], list[str]]:
+    """Long metrics (size, metric, value) of responses (size, response) and losses (size, loss, tokens), fitted laws, notes.
+
+    A metric that can't be fitted gets a note instead of a law.
+    """
+    wide = response_metrics(responses)
+    long = wide.unpivot("size", ["completion_rate", "avg_length", "coherence"], "metric", "value")
+    if losses is not None:
+        long = long.unionByName(perplexity(losses, by=["size"]).select("size", F.lit("perplexity").alias("metric"), F.col("perplexity").alias("value")))
+    laws, notes = {}, []
+    for r in long.select("metric").distinct().collect():
+        try:
+            laws |= fit_laws(long.where(F.col("metric") == r[0]))
+        except (ValueError, np.linalg.LinAlgError) as e:
+            notes.append(f"{r[0]}: no fit ({e})")
+    notes += exponent_notes(laws) + [r.note for r in jump_notes(long).orderBy("metric").collect()]
+    return long, laws, notes

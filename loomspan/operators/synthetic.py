@@ -16,19 +16,39 @@ from ..scratch import materialize
 
 # Phrases of failed evolutions.
 EVOLUTION_FAILURES = ["i cannot", "i'm sorry", "as an ai", "i don't understand"]
-# Requests for each kind of evolution.
+# Requests for each kind of evolution, with the place of the instruction.
 EVOLUTIONS = {
-    "add_constraints": ("I want you to add constraints or requirements to the given instruction, making it more complex. The new instruction should be reasonable and can be understood and responded to by humans.", "Please add constraints or requirements to the instruction to make it more complex."),
-    "deepen": ("I want you to deepen the given instruction by asking for more depth or details. The new instruction should be reasonable and can be understood and responded to by humans.", "Please deepen the instruction by requiring more in-depth analysis or explanation."),
-    "concretize": ("I want you to make the given instruction more concrete and specific. Replace general concepts with specific examples or scenarios.", "Please make the instruction more concrete and specific."),
-    "increase_reasoning": ("I want you to rewrite the instruction to require more step-by-step reasoning or logical thinking.", "Please rewrite the instruction to require more reasoning and logical steps."),
-    "complicate_input": ("I want you to complicate the input of the given instruction by adding more context, data, or conditions that need to be considered.", "Please complicate the input while keeping the core task similar."),
+    "add_constraints": """I want you to add constraints or requirements to the given instruction, making it more complex. The new instruction should be reasonable and can be understood and responded to by humans.
+
+Original Instruction: {instruction}
+
+Please add constraints or requirements to the instruction to make it more complex. Only output the new instruction, nothing else.""",
+    "deepen": """I want you to deepen the given instruction by asking for more depth or details. The new instruction should be reasonable and can be understood and responded to by humans.
+
+Original Instruction: {instruction}
+
+Please deepen the instruction by requiring more in-depth analysis or explanation. Only output the new instruction, nothing else.""",
+    "concretize": """I want you to make the given instruction more concrete and specific. Replace general concepts with specific examples or scenarios.
+
+Original Instruction: {instruction}
+
+Please make the instruction more concrete and specific. Only output the new instruction, nothing else.""",
+    "increase_reasoning": """I want you to rewrite the instruction to require more step-by-step reasoning or logical thinking.
+
+Original Instruction: {instruction}
+
+Please rewrite the instruction to require more reasoning and logical steps. Only output the new instruction, nothing else.""",
+    "complicate_input": """I want you to complicate the input of the given instruction by adding more context, data, or conditions that need to be considered.
+
+Original Instruction: {instruction}
+
+Please complicate the input while keeping the core task similar. Only output the new instruction, nothing else.""",
 }
 
 
 def evolution_prompt(instruction: Column, kind: str) -> Column:
-    head, tail = EVOLUTIONS[kind]
-    return F.concat(F.lit(f"{head}\n\nOriginal Instruction: "), instruction, F.lit(f"\n\n{tail} Only output the new instruction, nothing else."))
+    head, tail = EVOLUTIONS[kind].split("{instruction}")
+    return F.concat(F.lit(head), instruction, F.lit(tail))
 
 
 def valid_evolution(original: Column, evolved: Column) -> Column:
@@ -149,14 +169,73 @@ def combine(generated: DataFrame, evolved: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def evolve(df: DataFrame, generator, kinds: Iterable[str], id_column: str = "id", text_column: str = "instruction") -> DataFrame:
-    """Originals (depth 0) and the chain of valid evolutions by a generator (prompts to texts), one round a kind; a chain stops at its first failure."""
+def evolve(df: DataFrame, generator, kinds: Iterable[str], id_column: str = "id", text_column: str = "instruction", most: int | None = None) -> DataFrame:
+    """Originals (depth 0) and the chain of valid evolutions by a generator (prompts to texts), one round a kind; a chain stops at its first failure.
+
+    With ``most`` the rounds stop once there are as many rows, and the first ``most`` in the order of depth and id are given.
+    """
     from .models import generate
 
     level = df.select(id_column, F.col(text_column).alias("instruction"), F.lit(0).alias("evolution_depth"), F.lit(None).cast("string").alias("evolution_type"))
-    out = level
+    out, have = level, level.count() if most is not None else 0
     for depth, kind in enumerate(kinds, 1):
+        if most is not None and have >= most:
+            break
         x = generate(level.withColumn("__prompt", evolution_prompt(F.col("instruction"), kind)), generator, "__prompt", "__new")
         level = x.where(valid_evolution(F.col("instruction"), F.col("__new"))).select(id_column, F.col("__new").alias("instruction"), F.lit(depth).alias("evolution_depth"), F.lit(kind).alias("evolution_type"))
+        if most is not None:
+            level = materialize(level, "evolved")  # counted, and the ground of the next round
+            have += level.count()
         out = out.unionByName(level)
+    return out if most is None else out.orderBy("evolution_depth", id_column).limit(most)
+
+
+def sample_examples(seeds: DataFrame, generated: DataFrame | None, k: int, salt: int = 0, recent: int = 20) -> DataFrame:
+    """(instruction, input, output): ``k`` examples, no more than there are seeds, drawn by a hash from the seeds and the ``recent`` last generated instructions (by ``seq``)."""
+    pool = seeds.select("instruction", F.coalesce("input", F.lit("")).alias("input"), F.coalesce("output", F.lit("")).alias("output"))
+    if generated is not None:
+        last = generated.orderBy(F.desc("seq")).limit(recent).select("instruction", F.lit("").alias("input"), F.lit("").alias("output"))
+        pool = pool.unionByName(last)
+    return pool.orderBy(F.md5(F.concat_ws(":", "instruction", F.lit(str(salt)))), "instruction").limit(min(k, seeds.count()))
+
+
+def generation_prompt(examples: DataFrame, head: str = "Come up with a new task, in the form of these examples.\n\n") -> str:
+    """One request from a few examples (a handful of rows)."""
+    rows = F.array_sort(F.collect_list(F.struct("instruction", "input", "output")))
+    one = examples.agg(rows.alias("e")).select(few_shot_examples(F.col("e"))).first()[0]
+    return f"{head}{one}\n\n### Instruction:\n"
+
+
+def generate_until(seeds: DataFrame, generator, wanted: int, examples: int = 3, per_round: int = 64, rounds: int = 50, retries: int = 3, limit: float = 0.7, respond=None) -> DataFrame:
+    """(seq, instruction, input, output): ``wanted`` new instructions that parse and are diverse, in rounds of ``per_round`` requests.
+
+    A request that doesn't parse is asked again, up to ``retries`` times. Every round draws other examples; what it accepts is
+    written, and judged for diversity after all that were accepted before. Missing outputs come from ``respond``, if given. Fewer
+    rows come out when the rounds run out.
+    """
+    from .models import generate
+
+    spark, have, accepted = seeds.sparkSession, 0, None
+    for k in range(rounds):
+        if have >= wanted:
+            break
+        asks = [(k * per_round + i, generation_prompt(sample_examples(seeds, accepted, examples, k * 7 + i % 7))) for i in range(min(per_round, 7))]  # seven draws of examples a round
+        todo = spark.createDataFrame([(k * per_round + i, asks[i % len(asks)][1]) for i in range(per_round)], "seq long, prompt string")
+        good = None
+        for _ in range(retries):
+            x = materialize(generate(todo, generator, "prompt", "raw").withColumn("p", parse_instruction(F.col("raw"))), "generated")
+            ok = x.where("p is not null").select("seq", "p.instruction", "p.input", "p.output")
+            good, todo = (ok if good is None else good.unionByName(ok)), x.where("p is null").select("seq", "prompt")
+            if todo.isEmpty():
+                break
+        new = good if accepted is None else accepted.unionByName(good)
+        keep = diverse(new.select(F.col("seq").alias("id"), "instruction"), limit=limit).select(F.col("id").alias("seq"))
+        accepted = materialize(new.join(keep, "seq", "left_semi"), "accepted")
+        have = accepted.count()
+    if accepted is None:
+        return spark.createDataFrame([], "seq long, instruction string, input string, output string")
+    out = accepted.orderBy("seq").limit(wanted)
+    if respond is not None:
+        x = generate(out.withColumn("__ask", response_prompt(F.col("instruction"), F.col("input"))), respond, "__ask", "__answer")
+        out = x.withColumn("output", F.when(F.length("output") > 0, F.col("output")).otherwise(F.col("__answer"))).drop("__ask", "__answer")
     return out

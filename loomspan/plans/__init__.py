@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import curation, evaluation, pairs  # noqa: F401
+    from . import curation, evaluation, flows, pairs  # noqa: F401
     from .registry import QUERIES
 
     return dict(QUERIES)

@@ -14,7 +14,7 @@ _REASON = f"""case when text is null then 'invalid_type' when length(text) < 50
 _DOCS = f"(select doc_id, text, {words('text')} w from documents)"
 
 
-@query(f"select coalesce(reason, 'kept') reason, count(*) n from (select {_REASON} reason from {_DOCS}) group by 1")
+@query(f"with r as (select coalesce(reason, 'kept') reason, count(*) n from (select {_REASON} reason from {_DOCS}) group by 1) select (select sum(n)::bigint from r) total, (select coalesce(sum(n) filter (where reason = 'kept'), 0)::bigint from r) passed, (select coalesce(sum(n) filter (where reason <> 'kept'), 0)::bigint from r) removed, reason, n from r")
 def quality_stats(read, spark):
     return quality.filter_stats(quality.with_reason(read("documents")))
 
@@ -52,8 +52,9 @@ def exact_dedup(read, spark):
 
 @query(
     f"""with q as (select doc_id, text, {_REASON} reason from {_DOCS}), k as (select doc_id, text from q where reason is null),
- x as (select case when row_number() over (partition by sha256(text) order by doc_id) > 1 then 'exact_duplicate' end reason from k)
- select 0 "position", 'quality' stage, coalesce(reason, 'kept') reason, count(*) n from q group by all union all select 1, 'dedup', coalesce(reason, 'kept'), count(*) from x group by all"""
+ x as (select case when row_number() over (partition by sha256(text) order by doc_id) > 1 then 'exact_duplicate' end reason from k),
+ s as (select 0 "position", 'quality' stage, coalesce(reason, 'kept') reason, count(*) n from q group by all union all select 1, 'dedup', coalesce(reason, 'kept'), count(*) from x group by all)
+ select "position", stage, (sum(n) over w)::bigint total, (coalesce(sum(n) filter (where reason = 'kept') over w, 0))::bigint passed, (coalesce(sum(n) filter (where reason <> 'kept') over w, 0))::bigint removed, reason, n from s window w as (partition by stage)"""
 )
 def curation_stage_stats(read, spark):
     return Curator().quality().deduplicate("exact").run(read("documents"))[1]
@@ -62,14 +63,10 @@ def curation_stage_stats(read, spark):
 _SHINGLES = f"""with d as (select id, {words('text')} w from quality_texts where text is not null),
  s as (select id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) s from d),
  u as (select s, min(id) id, len(s) n from s group by s), e as (select id, n, unnest(s) g from u),
- f as (select g, count(*) df from e group by g), r as (select e.*, df, row_number() over (partition by id order by df, e.g) r from e join f using (g)),
- p as (select * from r where r <= n - ceil(n * 0.8) + 1 and df > 1),
- c as (select distinct a.id a, b.id b from p a join p b on a.g = b.g and a.id < b.id and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n))"""
+ c as (select a.id a, b.id b, count(*)::double shared, any_value(a.n) na, any_value(b.n) nb from e a join e b on a.g = b.g and a.id < b.id group by a.id, b.id)"""
 
 
-@query(
-    _SHINGLES + " select a, b, round(j, 6) similarity from (select a, b, len(list_intersect(x.s, y.s))::double / (x.n + y.n - len(list_intersect(x.s, y.s))) j from c join u x on x.id = c.a join u y on y.id = c.b) where j >= 0.8"
-)
+@query(_SHINGLES + " select a, b, round(shared / (na + nb - shared), 6) similarity from c where shared / (na + nb - shared) >= 0.8")
 def near_dup_pairs_exact(read, spark):
     return dedup.jaccard_pairs(read("quality_texts"), id_column="id").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -200,10 +197,10 @@ def evol_validate(read, spark):
     return read("preference_pairs").select("pair_id", synthetic.valid_evolution(F.col("prompt"), F.col("chosen")).alias("ok"))
 
 
-_HEAD, _TAIL = synthetic.EVOLUTIONS["deepen"]
+_HEAD, _TAIL = synthetic.EVOLUTIONS["deepen"].split("{instruction}")
 
 
-@query(f"select pair_id, {quoted(_HEAD)} || '\n\nOriginal Instruction: ' || prompt || {quoted(chr(10) * 2 + _TAIL + ' Only output the new instruction, nothing else.')} as prompt from preference_pairs where prompt is not null")
+@query(f"select pair_id, {quoted(_HEAD)} || prompt || {quoted(_TAIL)} as prompt from preference_pairs where prompt is not null")
 def evol_prompts(read, spark):
     return read("preference_pairs").where("prompt is not null").select("pair_id", synthetic.evolution_prompt(F.col("prompt"), "deepen").alias("prompt"))
 
@@ -215,19 +212,16 @@ def few_shot_prompt(read, spark):
     return read("judged_questions").select("question_id", synthetic.few_shot_examples(ex).alias("text"))
 
 
-@query(
-    f"""select doc_id, {trimmed('i')} instruction, {trimmed('r')} response from (select doc_id, split_part(split_part(text, '### Instruction:\n', 2), '###', 1) i, split_part(text, '### Response:\n', 2) r from documents where contains(text, '### Instruction:\n') and starts_with(text, '### Instruction') and contains(text, '### Response:\n') and not contains(lower(text), '### input'))
- where {trimmed('i')} <> '' and not contains(r, '###')"""
-)
-def parse_sections(read, spark):
-    d = read("documents").where("contains(text, '### Instruction:\n') and startswith(text, '### Instruction') and contains(text, '### Response:\n') and not contains(lower(text), '### input')")
-    x = d.select("doc_id", synthetic.parse_instruction(F.col("text")).alias("p"), synthetic.section(F.col("text"), "Response").alias("response"), F.element_at(F.split("text", "### Response:\n"), 2).alias("r"))
-    return x.where("p is not null and not contains(r, '###')").select("doc_id", "p.instruction", "response")
+_SECTION = lambda name: trimmed(f"coalesce(split_part(regexp_extract(text, '(?is)###\\s*{name}:?\\s*\\n(.*)', 1), '###', 1), '')")
 
 
-@query()
+_PARSED = f"select doc_id, {_SECTION('Instruction')} instruction, case when {_SECTION('Input')} in ('N/A', 'None', 'none') then '' else {_SECTION('Input')} end \"input\", {_SECTION('Output')} \"output\", {_SECTION('Response')} response from documents where {_SECTION('Instruction')} <> ''"
+
+
+@query(_PARSED)
+@query(_PARSED, name="parse_sections")
 def parse_instructions(read, spark):
-    """All documents with an instruction section; parse_sections is the part of them that its SQL can say."""
+    """All documents with an instruction section; both names stand for the same."""
     x = read("documents").select("doc_id", synthetic.parse_instruction(F.col("text")).alias("p"), synthetic.section(F.col("text"), "Response").alias("response"))
     return x.where("p is not null").select("doc_id", "p.instruction", "p.input", "p.output", "response")
 

@@ -212,10 +212,10 @@ def annot_filter(read, spark):
     return human_eval.filter_low_quality(read("annotations")).groupBy("task_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select substr(sha256(pair_id::varchar || ':0'), 1, 8) task_id, 'pairwise' task_type, prompt, case when substr(md5(pair_id::varchar || ':side0'), 1, 1) >= '8' then 'true' else 'false' end shuffled, case when substr(md5(pair_id::varchar || ':side0'), 1, 1) >= '8' then rejected else chosen end first_response from preference_pairs where prompt is not null")
 def pairwise_task_creation(read, spark):
     p = read("preference_pairs").where("prompt is not null").select(F.col("pair_id").alias("id"), "prompt", F.col("chosen").alias("response_a"), F.col("rejected").alias("response_b"))
-    return human_eval.pairwise_tasks(p, ("a", "b")).select("task_id", "task_type", "prompt", F.col("metadata")["shuffled"].alias("shuffled"))
+    return human_eval.pairwise_tasks(p, ("a", "b")).select("task_id", "task_type", "prompt", F.col("metadata")["shuffled"].alias("shuffled"), F.col("responses")[0].alias("first_response"))
 
 
 # scaling: part sizes as model sizes, two metrics of each

@@ -145,9 +145,14 @@ def token_accuracy(read, spark):
     return x.select(right.alias("r"), n.alias("n")).agg(F.round(F.sum("r") / F.sum("n"), 6).alias("accuracy"))
 
 
-@query()
+@query(
+    f"""with s as (select pair_id, len(ids) n from {_IDS}), l as (select list(n order by pair_id) ns from s),
+ p as (select list_reduce(list_transform(ns, lambda n: {{'u': n, 'k': 0, 'out': [0]}}), lambda a, b: case when a.u + b.u + 1 > 256 then {{'u': b.u, 'k': a.k + 1, 'out': list_append(a.out, a.k + 1)}} else {{'u': a.u + 1 + b.u, 'k': a.k, 'out': list_append(a.out, a.k)}} end) x, ns from l),
+ z as (select unnest(x.out) pack, unnest(ns) n from p)
+ select pack::bigint pack, least(sum(n) + count(*) - 1, 256)::bigint tokens, count(*) sequences from z group by 1"""
+)
 def pack_sequences(read, spark):
-    return K.pack(_ids(read), 256, 0, id_column="pair_id").select("shard", "pack", F.size("input_ids").alias("tokens"), F.size("starts").alias("sequences"))
+    return K.pack(_ids(read), 256, 0, id_column="pair_id").select("pack", F.size("input_ids").cast("long").alias("tokens"), F.size("starts").cast("long").alias("sequences"))
 
 
 # losses: scores of the pairs as rewards, prices as log-probabilities
@@ -213,7 +218,7 @@ def ppo_losses(read, spark):
     return x.agg(*(F.round(F.avg(c), 6).alias(n) for n, c in cols))
 
 
-@query()
+@query("select l_orderkey, round(list_reduce(list_prepend(0.1::double, list(l_discount::double order by l_linenumber)), lambda c, k: least(greatest(case when k > 0.05 * 1.5 then c * 1.5 when k < 0.05 / 1.5 then c / 1.5 else c end, 0.001), 10)), 6) coefficient from lineitem group by 1")
 def adaptive_kl(read, spark):
     x = read("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount"))), lambda s: s["l_discount"]).alias("kls"))
     return x.select("l_orderkey", F.round(losses.adaptive_coefficient(F.col("kls"), 0.1, 0.05), 6).alias("coefficient"))

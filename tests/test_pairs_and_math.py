@@ -36,7 +36,7 @@ def test_token_arrays(spark):
 
 def test_pack_next_fit(spark):
     x = spark.createDataFrame([(1, [1, 1, 1]), (2, [2, 2]), (3, [3] * 5), (4, [4] * 20), (5, [5])], "id long, ids array<int>")
-    got = [(r.input_ids, r.starts) for r in K.pack(x, 8, 0, shards=1).orderBy("pack").collect()]
+    got = [(r.input_ids, r.starts) for r in K.pack(x, 8, 0).orderBy("pack").collect()]
     assert got == [([1, 1, 1, 0, 2, 2], [0, 4]), ([3] * 5, [0]), ([4] * 8, [0]), ([5], [0])]
 
 
