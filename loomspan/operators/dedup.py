@@ -85,6 +85,17 @@ def bucket_drops(table: DataFrame) -> DataFrame:
         alive = x.select("band", "key", "id").join(dropped, "id", "left_anti").join(kept, "id", "left_anti")
 
 
+def save_index(index: DataFrame, path: str) -> None:
+    """Add bands to a stored index."""
+    index.write.mode("append").parquet(path)
+
+
+def reset_index(spark, path: str) -> bool:
+    """Delete a stored index; whether there was one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def query_similar(index: DataFrame, probes: DataFrame, bands: int = 9, rows: int = 13) -> DataFrame:
     """(probe, id): indexed rows that share a bucket with a probe (signatures)."""
     p = band_table(probes, bands, rows).withColumnRenamed("id", "probe")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -49,3 +50,18 @@ def unigram_perplexity(df: DataFrame, id_column: str = "doc_id", text_column: st
     by = ws.groupBy("id", "w").agg(F.count("*").alias("k")).join(counts, "w").join(F.broadcast(total))
     nll = -F.ln((F.col("c") + 1) / (F.col("n") + F.col("v")))
     return by.groupBy("id").agg(F.exp(F.sum(F.col("k") * nll) / F.sum("k")).alias("perplexity"))
+
+
+def perplexity(df: DataFrame, scorer: Callable[[list[list[int]]], list[list[float]]], tokenizer: Callable[[str], list[int]], column: str, out: str = "perplexity", max_tokens: int = 1024) -> DataFrame:
+    """Add exp of the mean negative log-likelihood of the tokens of a text, those beyond ``max_tokens`` left out; null for a text without tokens.
+
+    The scorer takes the token lists of a batch and gives the likelihoods of each; it may leave out the first token of a text.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids = [tokenizer(x)[:max_tokens] if x else [] for x in b.column(b.schema.get_field_index(column)).to_pylist()]
+            nll = scorer(ids) if ids else []
+            yield b.append_column(out, pa.array([math.exp(sum(x) / len(x)) if len(x) else None for x in nll], pa.float64()))
+
+    return df.mapInArrow(run, t.StructType([*df.schema.fields, t.StructField(out, t.DoubleType())]))

@@ -38,18 +38,23 @@ def log_linear(df: DataFrame) -> DataFrame:
 
 
 def power_law(sizes: list[float], values: list[float]) -> dict[str, float]:
-    """a * x**b + c by a search over b, a and c in closed form; log-linear where that isn't defined. A handful of numbers, on the driver."""
+    """a * x**b + c with b in [-3, 3]: a and c in closed form for each b, b by a grid that is refined around its best; log-linear where that isn't defined. A handful of numbers, on the driver."""
     x, y = np.asarray(sizes, float), np.asarray(values, float)
-    best: tuple = (np.inf, None)
     scale = x / x.max() if len(x) and x.max() > 0 else x
-    for b in np.concatenate([np.linspace(-3, -0.01, 300), np.linspace(0.01, 3, 300)]):
+
+    def fit(b: float) -> tuple[float, tuple[float, float, float] | None]:
         m = np.stack([scale**b, np.ones_like(x)], axis=1)
         if not np.isfinite(m).all() or np.linalg.matrix_rank(m) < 2:
-            continue
+            return np.inf, None
         coef, *_ = np.linalg.lstsq(m, y, rcond=None)
-        err = float(((m @ coef - y) ** 2).sum())
-        if err < best[0] - 1e-15:
-            best = (err, (float(coef[0] / x.max() ** b), float(b), float(coef[1])))
+        return float(((m @ coef - y) ** 2).sum()), (float(coef[0] / x.max() ** b), float(b), float(coef[1]))
+
+    grid = np.concatenate([np.linspace(-3, -0.01, 300), np.linspace(0.01, 3, 300)])
+    best = min((fit(b) for b in grid), key=lambda r: r[0], default=(np.inf, None))
+    for width in (0.01, 0.001, 0.0001, 0.00001):
+        if best[1] is not None:
+            around = best[1][1] + np.linspace(-width, width, 21)
+            best = min([best, *(fit(b) for b in around if -3 <= b <= 3 and abs(b) >= 1e-3)], key=lambda r: r[0])
     if best[1] is None:
         slope, intercept = np.polyfit(np.log(x), y, 1)
         return {"slope": float(slope), "intercept": float(intercept)}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stems import stem
 from ..scratch import materialize
 
 # Phrases of failed evolutions.
@@ -100,6 +101,16 @@ def rouge_l(a: list[str], b: list[str]) -> float:
     return 0.0 if not lcs else 2 * lcs / (len(a) + len(b))
 
 
+class _Stems(dict):
+    """Stems of words of more than three letters; shorter ones stay. Emptied when it has grown too large."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) >= 500_000:
+            self.clear()
+        x = self[w] = stem(w) if len(w) > 3 else w
+        return x
+
+
 def _common(a: Counter, b: Counter) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -107,7 +118,7 @@ def _common(a: Counter, b: Counter) -> int:
 
 
 def diverse(df: DataFrame, id_column: str = "id", text_column: str = "instruction", limit: float = 0.7, history: int = 100, shards: int | None = None, rows: int = 2000) -> DataFrame:
-    """Rows that are not too similar to any of the last ``history`` accepted ones before them (in the order of ids).
+    """Rows that are not too similar (F1 of the longest common subsequence of word stems) to any of the last ``history`` accepted ones before them (in the order of ids).
 
     The rule is sequential. Chunks of at most ``rows`` rows in order are judged at once, at first as if nothing came before
     them; a chunk is judged again while the accepted rows it began with aren't those its predecessor ends with, up to where its
@@ -121,10 +132,10 @@ def diverse(df: DataFrame, id_column: str = "id", text_column: str = "instructio
         k = int(own["chunk"].iloc[0])
         ends = list(zip(state["id"], state["text"]))
         digest = lambda x: hashlib.sha1(repr([(str(i), t) for i, t in x]).encode()).hexdigest() if x else ""
-        began = digest(ends)
+        began, stems = digest(ends), _Stems()
 
         def entry(t):
-            ws = re.findall(r"[a-z0-9]+", (t or "").lower())
+            ws = [stems[w] for w in re.findall(r"[a-z0-9]+", (t or "").lower())]
             return ws, Counter(ws)
 
         window = deque((entry(t) for _, t in ends), maxlen=history)

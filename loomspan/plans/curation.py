@@ -76,7 +76,12 @@ def minhash_dedup(read, spark):
     return dedup.minhash_dedup(read("quality_texts").where("text is not null"), id_column="id").select("id")
 
 
-@query()
+@query(
+    _SHINGLES
+    + """, p as (select b, list(a) near from c where shared / (na + nb - shared) >= 0.8 group by b), l as (select list({'b': b, 'near': near, 'gone': []::bigint[]} order by b) x from p),
+ g as (select unnest(case when len(x) > 0 then list_reduce(list_prepend({'b': null::bigint, 'near': []::bigint[], 'gone': []::bigint[]}, x), lambda s, r: {'b': r.b, 'near': r.near, 'gone': case when len(list_filter(r.near, lambda v: not list_contains(s.gone, v))) > 0 then list_append(s.gone, r.b) else s.gone end}).gone end) id from l)
+ select id from u where id not in (select id from g) union all select id from quality_texts where text is null"""
+)
 def near_dup_greedy_keep(read, spark):
     return dedup.jaccard_keep(read("quality_texts"), id_column="id")
 

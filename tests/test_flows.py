@@ -165,3 +165,26 @@ def test_release_deletes_tables(spark):
     assert t.count() == 5 and scratch.release(spark) >= 1
     with pytest.raises(Exception):
         t.count()
+
+
+def test_stems():
+    from loomspan.functions.stems import stem
+
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac adoption adopt irritant irrit homologous homolog effective effect probate probat rate rate cease ceas controll control roll roll".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_perplexity_and_plots(spark):
+    from loomspan.operators import models, rewards
+    from loomspan.sources import plots
+
+    x = spark.createDataFrame([(1, "a b c d"), (2, ""), (3, None)], "id int, text string")
+    got = {r.id: r.perplexity for r in models.perplexity(x, lambda batch: [[1.0] * len(ids) for ids in batch], lambda t: [len(w) for w in t.split()], "text", max_tokens=2).collect()}
+    assert got[1] == pytest.approx(2.718281828) and got[2] is None and got[3] is None
+    v = spark.createDataFrame([(float(k),) for k in range(10)], "r double")
+    svg = plots.histogram_svg(rewards.histogram(v, "r", 5), "rewards & more")
+    assert svg.count("<rect") == 5 and "&amp;" in svg
+    m = spark.createDataFrame([(70, "a", 1.0), (410, "a", 2.0), (70, "b", None)], "size int, metric string, value double")
+    assert plots.lines_svg(m, "t").count("<polyline") == 1 and plots.lines_svg(m.limit(0), "t").count("<polyline") == 0
+    law = scaling.power_law([1, 2, 4, 8, 16], [3 * s**-0.7321 + 1 for s in (1, 2, 4, 8, 16)])
+    assert law["b"] == pytest.approx(-0.7321, abs=1e-3) and law["c"] == pytest.approx(1, abs=1e-2)
