@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from .votes import LABELS
 
 ABILITY, SPREAD, CLARITY_SPREAD, BIAS_SPREAD = 1.5, 1.0, 0.35, 1.0  # priors
 _INNER = 4
+LONG = 1.5  # times a step: expected information overstates what votes tell, so steps are short
 _SIZE = LABELS + 1  # parameters of an annotator: ability and a bias for each label
 _UPPER = [(i, j) for i in range(_SIZE) for j in range(i, _SIZE)]
 _GRAD, _INFO = [f"g{i}" for i in range(_SIZE)], [f"h{i}{j}" for i, j in _UPPER]
@@ -124,12 +126,17 @@ def _gradients(batches, people: _People | None, prior: np.ndarray):
 
 def _steps(batches, common: np.ndarray):
     for b in batches:
-        x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in (*_SUMS, *_AT)}
+        people = b.filter(pc.is_valid(b.column("key")))
+        x = {k: people.column(k).to_numpy(zero_copy_only=False) for k in (*_SUMS, *_AT)}
         step, penalty = newton(x, np.stack([x[c] for c in _AT]), common)
-        yield pa.record_batch([b.column("key"), *(b.column(c) for c in _AT), *(pa.array(s) for s in step), pa.array(penalty), b.column("votes"), b.column("right")], names=_STATE_NAMES)
+        keep = [people.column(c) for c in ("votes", "right", *_TOTALS)]
+        yield pa.record_batch([people.column("key"), *(people.column(c) for c in _AT), *(pa.array(s) for s in step), pa.array(penalty), *keep], names=_STATE_NAMES)
+        total = b.filter(pc.is_null(b.column("key")))
+        none = pa.nulls(total.num_rows, pa.float64())
+        yield pa.record_batch([total.column(c) if c in ("key", *_TOTALS) else none for c in _STATE_NAMES], names=_STATE_NAMES)
 
 
-_STATE_NAMES = ["key", *_AT, *_STEP, "penalty", "votes", "right"]
+_STATE_NAMES = ["key", *_AT, *_STEP, "penalty", "votes", "right", *_TOTALS]
 _STATE = "key long, " + ", ".join(f"{c} double" for c in _STATE_NAMES[1:])
 
 
@@ -156,35 +163,36 @@ class Consensus:
         packed = self.votes.groupBy("task_id").agg(F.collect_list(F.struct("key", "label")).alias("v")).select("task_id", F.col("v.key").alias("keys"), F.col("v.label").alias("labels"))
         self.tasks = materialize(packed, "tasks")
         names = self.votes.groupBy("key").agg(F.count("*").cast("double").alias("votes"))
-        zeros = [F.lit(0.0).alias(c) for c in (*_STEP, "penalty")]
-        self.state = materialize(names.select("key", F.lit(ABILITY).alias("t0"), *(F.lit(0.0).alias(c) for c in _AT[1:]), *zeros, "votes", F.lit(0.0).alias("right")), "annotators")
+        zero = {c: F.lit(0.0) for c in _STATE_NAMES[1:]} | {"t0": F.lit(ABILITY), "votes": F.col("votes")}
+        self.state = materialize(names.select("key", *(x.alias(c) for c, x in zero.items())), "annotators")
         self.small = self.state.count() <= broadcast_annotators
         self.prior, self.objective, self.last_change, self.rounds_used = np.full(LABELS, 1 / LABELS), -np.inf, np.inf, 0
         self.people = self._people(self.state)
         self._fit(rounds, tolerance)
 
     def _fit(self, rounds: int, tolerance: float) -> None:
-        place, base, prior, common, scale = self.state.select("key", *_AT), None, self.prior, np.zeros(LABELS), 1.0
+        place, prior, common, scale, base = self.state.select("key", *_AT), self.prior, np.zeros(LABELS), 1.0, None
         for self.rounds_used in range(1, rounds + 1):
             people = self._people(place)
             sums = self._rows(people, place).mapInArrow(lambda it, people=people, prior=prior: _gradients(it, people, prior), "key long, " + ", ".join(f"{c} double" for c in _SUMS))
-            sums = materialize(sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS)), "sums")
-            total = sums.where("key is null").select(*_TOTALS).first()
-            if total is None:
+            sums = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS))
+            state = materialize(sums.join(place, "key", "left").mapInArrow(lambda it, common=common: _steps(it, common), _STATE), "annotators")
+            r = state.agg(F.max("ll"), *(F.max(c) for c in _TOTALS[1:]), F.sum("penalty"), F.max(F.greatest(*(F.abs(c) for c in _STEP))), *(F.avg(F.col(t) + F.col(s)) for t, s in zip(_AT[1:], _STEP[1:]))).first()
+            if r[0] is None:  # no votes
                 self.objective, self.last_change = 0.0, 0.0
                 return
-            state = materialize(sums.where("key is not null").join(place, "key").mapInArrow(lambda it, common=common: _steps(it, common), _STATE), "annotators")
-            r = state.agg(F.sum("penalty"), F.max(F.greatest(*(F.abs(c) for c in _STEP))), *(F.avg(F.col(t) + F.col(s)) for t, s in zip(_AT[1:], _STEP[1:]))).first()
-            objective = total[0] - r[0]
+            posterior, penalty, change, middle = np.array(r[1 : 1 + LABELS]), *r[1 + LABELS : 3 + LABELS], np.array(r[3 + LABELS :])
+            objective = r[0] - penalty
             if objective < self.objective - 1e-9 * abs(self.objective) and scale > 1e-3:  # too far: half the way
                 scale /= 2
             else:
-                self.state, self.people, self.prior, self.objective, self.last_change, scale = state, people, prior, objective, r[1], 1.0
-                if r[1] < tolerance:
+                self.state, self.people, self.prior, self.objective, self.last_change = state.where("key is not null"), people, prior, objective, change
+                if change < tolerance:
                     return
-                aim, middle = np.array(total[1:]) / sum(total[1:]), np.array(r[2:])
-                base = (prior, common)
-            prior, common = base[0] + scale * (aim - base[0]), base[1] + scale * (middle - base[1])
+                base, aim = (prior, common), (posterior / posterior.sum(), middle)
+                scale = LONG if self.rounds_used > 3 else 1.0
+            part = min(scale, 1.0)
+            prior, common = base[0] + part * (aim[0] - base[0]), base[1] + part * (aim[1] - base[1])
             place = self.state.select("key", *((F.col(t) + scale * F.col(s)).alias(t) for t, s in zip(_AT, _STEP)))
         raise RuntimeError(f"the consensus did not settle in {rounds} rounds: last step {self.last_change}, tolerance {tolerance}")
 
