@@ -98,6 +98,12 @@ def test_hot_blocks_are_cut_into_tiles(spark):
     assert {r.group_id for r in x.groups().collect()} == {0}
 
 
+def test_repeated_rows_make_no_pairs_of_themselves(spark):
+    t = text(40)
+    df = spark.createDataFrame([("a", 1, t), ("a", 1, t), ("a", 2, t), ("b", 1, t), (None, 3, t)], "table_name string, id long, text string").where("table_name is not null")
+    assert sorted(tuple(r) for r in nd.NearDuplicates(df, 3, 0.5, 20).found().collect()) == [("a", 1, 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "table_name string, id long, text string")
     assert nd.NearDuplicates(df).found().count() == 0
@@ -379,6 +385,12 @@ def test_shortened_versions_and_odd_rows(spark):
     assert bp.broken_pairs(spark.createDataFrame([], "pair_id long, prompt string, chosen string, rejected string")).count() == 0
 
 
+def test_evidence_of_open_endings(spark):
+    rows = [(1, "Why is the river high?", "The snow melts in the spring and the water runs into the", "It rains. " * 3000 + "And then"), (2, "p", "The snow melts.", "The snow melts in the spring and the water runs into the lake")]
+    got = {tuple(r) for r in bp.broken_pairs(spark.createDataFrame(rows, "pair_id long, prompt string, chosen string, rejected string")).collect()}
+    assert (1, "chosen", "truncated", "neighbour") in got and (1, "rejected", "truncated", "ending") in got and not any(k == 2 and side == "chosen" for k, side, *_ in got)
+
+
 def test_length_limits(spark):
     r = random.Random(7)
     cut = lambda n: " ".join(["The"] + [r.choice(VOCAB) for _ in range(60)])[:n].strip().ljust(n, "x")
@@ -440,6 +452,10 @@ def test_mixture(spark):
     again = Mixture(d.repartition(7), t, shards=4)
     assert sorted(map(tuple, again.chosen().collect())) == sorted(map(tuple, c))
     assert Mixture(d.limit(0), t).chosen().count() == 0
+    small = Mixture(d, t, shards=4, block_tokens=200)  # other blocks, the same shares
+    assert all(abs(r.share - s[r.source].share) < 0.01 for r in small.shares().collect())
+    lay = small.layout().groupBy("source", "shard").count().where("source = 'big_source'").collect()
+    assert len(lay) == 4 and max(r["count"] for r in lay) < 2 * min(r["count"] for r in lay)
 
 
 # 9
