@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import share
+from .models import Generator, Scorer, generate, score
 from .ordering import running_counts
 
 
@@ -125,3 +126,19 @@ def merged_metrics(*metrics: DataFrame, by: str = "model") -> DataFrame:
         x = df.select(by, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(by, names, "metric", "value")
         out = x if out is None else out.unionByName(x)
     return out
+
+
+def generate_responses(prompts: DataFrame, generators: dict[str, Generator], scorer: Scorer | None = None, prompt: str = "prompt") -> DataFrame:
+    """(prompt, model, response, reward) of several named models on the same prompts; without a scorer the reward is null."""
+    out = None
+    for name, g in generators.items():
+        x = generate(prompts.select(prompt), g, prompt).withColumn("model", F.lit(name))
+        x = score(x.withColumn("__text", F.concat_ws("\n", prompt, "response")), scorer, "__text", "reward").drop("__text") if scorer else x.withColumn("reward", F.lit(None).cast("double"))
+        out = x if out is None else out.unionByName(x)
+    return out.select(prompt, "model", "response", "reward")
+
+
+def side_by_side(long: DataFrame, a: str, b: str, prompt: str = "prompt") -> DataFrame:
+    """(prompt, response_a, response_b, reward_a, reward_b) of two models' rows; prompts that one of them lacks are left out."""
+    one = lambda name, side: long.where(F.col("model") == name).select(prompt, F.col("response").alias(f"response_{side}"), F.col("reward").alias(f"reward_{side}"))
+    return one(a, "a").join(one(b, "b"), prompt)

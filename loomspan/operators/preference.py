@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .models import Generator, generate
+from ..scratch import materialize
+from .models import Generator, Scorer, generate, score
+from .ordering import running_counts
 
 # Fixed value: form of a rating in a judge's answer.
 RATING = r"Response {side}:\s*(\d+(?:\.\d+)?)"
@@ -27,9 +29,13 @@ def pairs_from_ratings(items: DataFrame, margin: float = 1.0) -> DataFrame:
 
 
 def ranked(items: DataFrame) -> DataFrame:
-    """Add ``rank`` within the prompt by score, ties by ``seq``, and ``n``, the items of the prompt."""
-    w = Window.partitionBy("prompt")
-    return items.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "seq"))).withColumn("n", F.count("*").over(w))
+    """Add ``rank`` within the prompt by score, ties by ``seq`` (unique), and ``n``, the items of the prompt.
+
+    Ranks are running counts over ranges of (prompt, score), so a prompt of very many items is spread over tasks.
+    """
+    at = F.struct(F.col("score").isNull(), -F.col("score"), F.col("seq"))
+    x = running_counts(items.withColumn("__at", at).withColumn("__one", F.lit(1)), ["prompt"], "__at", "__one")
+    return x.select(*items.columns, F.col("upto").cast("int").alias("rank"), "n")
 
 
 def rank_pairs(items: DataFrame, per_prompt: int = 1, margin: float | None = None) -> DataFrame:
@@ -47,8 +53,9 @@ def tournament(judged: DataFrame) -> DataFrame:
     """(prompt, response, score): sums of ratings over judged pairs (prompt, response_a, response_b, score_a, score_b), relative to the best of the prompt."""
     x = judged.select("prompt", F.explode(F.array(F.struct(F.col("response_a").alias("response"), F.col("score_a").alias("s")), F.struct(F.col("response_b").alias("response"), F.col("score_b").alias("s")))).alias("x"))
     total = x.groupBy("prompt", F.col("x.response").alias("response")).agg(F.sum("x.s").alias("total"))
-    best = F.max("total").over(Window.partitionBy("prompt"))
-    return total.select("prompt", "response", F.when(best > 0, F.col("total") / best).otherwise(F.col("total")).alias("score"))
+    best = total.groupBy("prompt").agg(F.max("total").alias("best")).withColumnRenamed("prompt", "__prompt")
+    x = total.join(best, F.col("prompt").eqNullSafe(F.col("__prompt")))
+    return x.select("prompt", "response", F.when(F.col("best") > 0, F.col("total") / F.col("best")).otherwise(F.col("total")).alias("score"))
 
 
 def parse_rating(text: Column, side: str, default: float = 5.0) -> Column:
@@ -228,3 +235,42 @@ def item(df: DataFrame, tokenizer: Callable[[str], list[int]], max_length: int,
 def reward_temperatures(n: int, schedule: list[float]) -> list[float]:
     """Temperatures of a reward ranking: each of the schedule ``n // len`` times, so perhaps fewer than ``n``."""
     return [t for t in schedule for _ in range(n // len(schedule))]
+
+
+def responses(prompts: DataFrame, respond: Callable[[float], Generator], schedule: list[float], n: int) -> DataFrame:
+    """(prompt, seq, temperature, response): ``n`` responses to each prompt (``prompt``), temperatures going round the schedule; too short ones are left out."""
+    out = None
+    for i in range(n):
+        t = schedule[i % len(schedule)]
+        x = generate(prompts.select("prompt"), respond(t), "prompt").select("prompt", F.lit(i).cast("long").alias("seq"), F.lit(float(t)).alias("temperature"), "response")
+        out = x if out is None else out.unionByName(x)
+    return out.where(long_enough(F.col("response")))
+
+
+def judged(candidates: DataFrame, judge: Generator) -> DataFrame:
+    """(prompt, response_a, response_b, score_a, score_b): every two responses of a prompt (a handful each, see ``responses``), rated by an injected judge."""
+    a = candidates.select("prompt", F.col("seq").alias("sa"), F.col("response").alias("response_a"))
+    b = candidates.select("prompt", F.col("seq").alias("sb"), F.col("response").alias("response_b"))
+    x = a.join(b, "prompt").where("sa < sb").withColumn("__ask", filled(RANKING, prompt=F.col("prompt"), response_a=F.col("response_a"), response_b=F.col("response_b")))
+    x = generate(x, judge, "__ask", "__said")
+    return x.select("prompt", "response_a", "response_b", parse_rating(F.col("__said"), "A").alias("score_a"), parse_rating(F.col("__said"), "B").alias("score_b"))
+
+
+def generate_pairs(prompts: DataFrame, strategy: str, respond: Callable[[float], Generator], judge: Generator | None = None, scorer: Scorer | None = None, critic: Generator | None = None, reviser: Generator | None = None, n: int = 4, per_prompt: int = 1, margin: float | None = None, schedule: tuple[float, ...] = (0.3, 0.7, 1.0)) -> DataFrame:
+    """(prompt, chosen, rejected, chosen_score, rejected_score) of prompts, each once, by a strategy: rewards of a scorer, critique and revision (no scores), or else ratings of a judge.
+
+    A missing model raises ``ValueError``.
+    """
+    way, prompts = STRATEGIES.get(strategy.lower(), "model_ranking"), prompts.select("prompt").distinct()
+    need = {"reward_model": (scorer,), "constitutional": (critic, reviser)}.get(way, (judge,))
+    if any(m is None for m in need):
+        raise ValueError(f"{way} needs another model")
+    if way == "constitutional":
+        x = constitutional(prompts, respond(0.7), critic, reviser)
+        return x.select("prompt", "chosen", "rejected", F.lit(None).cast("double").alias("chosen_score"), F.lit(None).cast("double").alias("rejected_score"))
+    temperatures = reward_temperatures(n, list(schedule)) if way == "reward_model" else [schedule[i % len(schedule)] for i in range(n)]
+    c = materialize(responses(prompts, respond, temperatures, len(temperatures)), "responses")  # ranked, and read by the pairs
+    if way == "reward_model":
+        return rank_pairs(score(c.withColumn("__text", pair_text(F.col("prompt"), F.col("response"))), scorer, "__text").drop("__text"), per_prompt, margin)
+    rated = tournament(judged(c, judge)).join(c.groupBy("prompt", "response").agg(F.min("seq").alias("seq")), ["prompt", "response"])
+    return rank_pairs(rated, per_prompt, margin)

@@ -188,3 +188,27 @@ def test_perplexity_and_plots(spark):
     assert plots.lines_svg(m, "t").count("<polyline") == 1 and plots.lines_svg(m.limit(0), "t").count("<polyline") == 0
     law = scaling.power_law([1, 2, 4, 8, 16], [3 * s**-0.7321 + 1 for s in (1, 2, 4, 8, 16)])
     assert law["b"] == pytest.approx(-0.7321, abs=1e-3) and law["c"] == pytest.approx(1, abs=1e-2)
+
+
+def test_pairs_by_strategy(spark):
+    p = spark.createDataFrame([("one prompt",), ("two prompts",), ("one prompt",)], "prompt string")
+    respond = lambda t: lambda ts: [f"a response at {t} to {x}" for x in ts]
+    judge = lambda asks: [f"Response A: {9 if '0.3' in a.split('Response A:')[1].split('Response B:')[0] else 4}\nResponse B: 3" for a in asks]
+    got = preference.generate_pairs(p, "self_critique", respond, judge=judge, n=3).collect()
+    assert len(got) == 2 and all("0.3" in r.chosen and "1.0" in r.rejected for r in got)
+    got = preference.generate_pairs(p, "REWARD_MODEL", respond, scorer=lambda ts: [float("1.0 to" in t) for t in ts], n=4, margin=0.5).collect()
+    assert len(got) == 2 and all("1.0" in r.chosen and r.chosen_score == 1.0 for r in got)
+    got = preference.generate_pairs(p, "constitutional", respond, critic=lambda ts: ["bad"] * len(ts), reviser=lambda ts: ["better"] * len(ts)).collect()
+    assert {r.chosen for r in got} == {"better"} and len(got) == 2
+    with pytest.raises(ValueError, match="needs another model"):
+        preference.generate_pairs(p, "constitutional", respond)
+
+
+def test_two_models(spark):
+    from loomspan.operators import comparison
+
+    p = spark.createDataFrame([("p1",), ("p2",)], "prompt string")
+    x = comparison.generate_responses(p, {"a": lambda ts: ["long answer"] * len(ts), "b": lambda ts: ["short"] * len(ts)}, lambda ts: [float(len(t)) for t in ts])
+    r = comparison.win_rates(comparison.side_by_side(x, "a", "b"), "reward_a", "reward_b").collect()[0]
+    assert (r.n, r.win_a) == (2, 1.0)
+    assert comparison.generate_responses(p, {"a": lambda ts: ["x"] * len(ts)}).collect()[0].reward is None
