@@ -63,8 +63,10 @@ def _partial(v: np.ndarray):
 class Edges:
     """The comparisons as a sparse matrix that stays on the executors."""
 
-    def __init__(self, rows: DataFrame, size: int):
-        self.rows, self.size, self.spark = rows, size, rows.sparkSession
+    def __init__(self, rows: DataFrame, size: int, task_rows: int = 500_000):
+        """``task_rows`` comparisons make a task; the sums of a single task need no shuffle."""
+        self.parts = -(-max(rows.count(), 1) // task_rows)
+        self.rows, self.size, self.spark = rows.coalesce(self.parts), size, rows.sparkSession
 
     def _sum(self, source: DataFrame, f, width: int) -> np.ndarray:
         names = [f"v{c}" for c in range(width)]
@@ -89,7 +91,7 @@ class Edges:
                 i, j, w, u = (b.column(c).to_numpy() for c in ("i", "j", "w", "u"))
                 yield _partial(np.concatenate([_scatter(i, j, u[:, None], size), _scatter(i, j, w[:, None], size, 1.0)], axis=1))
 
-        self.weighted = materialize(self.rows.mapInArrow(run, "i long, j long, w double, u double"), "weights")
+        self.weighted = materialize(self.rows.mapInArrow(run, "i long, j long, w double, u double"), "weights").coalesce(self.parts)
         out = self._sum(self.weighted, both, 2)
         return out[:, 0], out[:, 1]
 
@@ -183,6 +185,7 @@ def rank(comparisons: DataFrame, ridge: float = 0.01, rounds: int = 50, toleranc
         g, diagonal = edges.weigh(s)
         diagonal = diagonal + ridge
         step = conjugate_gradients(times, (g - ridge * s)[:, None], diagonal, 0.01)[:, 0]
+        step[:-1] -= step[:-1].mean()  # comparisons say nothing of the mean, which the prior holds at 0
         s = s + np.clip(step, -2, 2)
         if np.abs(step).max() < tolerance:  # what is left is a hundredth of it at most
             break
