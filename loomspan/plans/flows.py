@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import benchmarks, chat, comparison, curation, hacking, human_eval, losses, preference, quality, scaling, screening
+from ..operators import benchmarks, chat, comparison, curation, hacking, human_eval, losses, models, preference, quality, rewards, scaling, screening, synthetic
 from ..operators import token_arrays as K
 from ..sources import io
 from .curation import _C, _CONV, _DOCS, _LEXICON, _REASON, _conversations
@@ -386,3 +386,51 @@ def metric_lookup(read, spark):
 @query(f"with x as (select metric, size, abs(\"value\" - lag(\"value\") over (partition by metric order by size)) s, count(*) over (partition by metric) n from {_M}) select metric, metric || ': Potential emergence detected at size ' || arg_max(size, s) note from x where s is not null and n >= 3 group by metric having max(s) > 2 * avg(s)")
 def jump_notes(read, spark):
     return scaling.jump_notes(_metrics(read))
+
+
+# flows with injected models; the models are functions that SQL can say as well
+
+
+def _shout(texts: list[str]) -> list[str]:
+    return [t.upper() for t in texts]
+
+
+def _tail(texts: list[str]) -> list[str]:
+    return [t.split("Original Instruction: ", 1)[-1].rsplit("\n\n", 1)[0] + " Say why." for t in texts]
+
+
+@query("select pair_id, trim(upper(prompt), ' ') response, round(length(trim(upper(prompt), ' ')), 6)::double reward from preference_pairs where prompt is not null and not starts_with(upper(prompt), prompt) and not regexp_matches(prompt, '[^\\x00-\\x7F]')")
+def generated_and_scored(read, spark):
+    p = read("preference_pairs").where("prompt is not null and not startswith(upper(prompt), prompt)").where(~F.col("prompt").rlike(r"[^\x00-\x7F]")).select("pair_id", "prompt")
+    return models.score(models.generate(p, _shout, "prompt"), _length_score, "response", "reward").select("pair_id", "response", "reward")
+
+
+@query(
+    """with o as (select pair_id, prompt p from preference_pairs where prompt is not null), a as (select pair_id, trim(p || ' Say why.', ' ') p1, p from o),
+ v as (select pair_id, p1 from a where length(p1) >= 10 and not regexp_matches(lower(p1), 'i cannot|i''m sorry|as an ai|i don''t understand')),
+ b as (select pair_id, trim(p1 || ' Say why.', ' ') p2 from v) select 0 depth, count(*) n, sum(length(p))::bigint chars from o union all select 1, count(*), sum(length(p1))::bigint from v union all select 2, count(*), sum(length(p2))::bigint from b"""
+)
+def evolution_chain(read, spark):
+    p = read("preference_pairs").where("prompt is not null").select(F.col("pair_id").alias("id"), F.col("prompt").alias("instruction"))
+    x = synthetic.evolve(p, _tail, ["deepen", "concretize"])
+    return x.groupBy(F.col("evolution_depth").alias("depth")).agg(F.count("*").alias("n"), F.sum(F.length("instruction")).alias("chars"))
+
+
+@query("select i instruction, '' \"input\", '' \"output\" from (select distinct turns[1] i from judged_questions where turns[1] is not null) order by md5(i || ':3'), i limit 5")
+def sampled_examples(read, spark):
+    seeds = read("judged_questions").where("turns[0] is not null").select(F.col("turns")[0].alias("instruction")).distinct().select("instruction", F.lit("").alias("input"), F.lit("").alias("output"))
+    return synthetic.sample_examples(seeds, None, 5, salt=3)
+
+
+@query("select 3.0::double a, -0.7::double b, 1.0::double c")
+def power_law_fit(read, spark):
+    """A law that the sizes of parts follow exactly is found again."""
+    m = read("part").select(F.col("p_size").alias("size")).distinct().select("size", F.lit("loss").alias("metric"), (3 * F.pow("size", F.lit(-0.7)) + 1).alias("value"))
+    law = scaling.fit_laws(m)["loss"]
+    return spark.createDataFrame([tuple(round(law[k], 2) for k in "abc")], "a double, b double, c double")
+
+
+@query("select count(length(chosen)) n, round(avg(length(chosen)), 6) mean, round(quantile_cont(length(chosen), 0.5), 6) p50 from preference_pairs where chosen is not null")
+def scored_distribution(read, spark):
+    p = read("preference_pairs").where("chosen is not null").select("pair_id", "chosen")
+    return _ROUND(rewards.distribution_of(p, _length_score, "chosen").select("n", "mean", "p50"))

@@ -212,3 +212,15 @@ def test_two_models(spark):
     r = comparison.win_rates(comparison.side_by_side(x, "a", "b"), "reward_a", "reward_b").collect()[0]
     assert (r.n, r.win_a) == (2, 1.0)
     assert comparison.generate_responses(p, {"a": lambda ts: ["x"] * len(ts)}).collect()[0].reward is None
+
+
+def test_stored_index(spark, tmp_path):
+    from loomspan.operators import dedup
+
+    t = " ".join(f"w{k}" for k in range(60))
+    x = spark.createDataFrame([(1, t), (2, "quite another text " * 9)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    dedup.save_index(dedup.band_table(dedup.signatures(x)), path)
+    probe = dedup.signatures(spark.createDataFrame([(9, t)], "doc_id long, text string"))
+    assert {tuple(r) for r in dedup.query_similar(spark.read.parquet(path), probe).collect()} == {(9, 1)}
+    assert dedup.reset_index(spark, path) and not dedup.reset_index(spark, path)
